@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, licenses, quality
+from . import bpe, chat, decontaminate, licenses, quality, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1,
+        "op4_fm_decontamination": decontaminate.op4,
         "op5_byte_bpe": bpe.op5,
         "op6_license_scan": licenses.op6,
         "op7_chat_format": chat.op7,
+        "op9_warc_normaliser": warc.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": chat.OP7_SQL}
+    return {"op4_fm_decontamination": decontaminate.OP4_SQL, "op7_chat_format": chat.OP7_SQL, "op9_warc_normaliser": warc.OP9_SQL}
