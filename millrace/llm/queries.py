@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, licenses, quality, warc
+from . import bpe, chat, decontaminate, licenses, mil, quality, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1,
+        "op3_attention_mil": mil.op3,
         "op4_fm_decontamination": decontaminate.op4,
         "op5_byte_bpe": bpe.op5,
         "op6_license_scan": licenses.op6,
         "op7_chat_format": chat.op7,
+        "op8_nnpu_toxicity": toxicity.op8,
         "op9_warc_normaliser": warc.op9,
     }
 
