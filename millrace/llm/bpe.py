@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 #: Bounds of the memory of one compiled transducer; a table that outgrows its bound is emptied and filled anew.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 150_000, 250_000, 500_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 400_000, 600_000, 600_000
 
 _START = -1
 
