@@ -29,31 +29,31 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         F.col(conv_id).alias("__c"), F.col(turn).cast("long").alias("__t"),
         F.coalesce(F.col(role).cast("string"), F.lit("")).alias("__r"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__x"),
     )
-    part = (
-        t.groupBy("__c", F.shiftright(F.col("__t"), chunk_bits).alias("__k"))
-        .agg(F.sort_array(F.collect_list(F.struct(F.col("__t").alias("t"), escaped(F.col("__r")).alias("r"), escaped(F.col("__x")).alias("x")))).alias("a"))
-        .select("__c", "__k", _merged(F.transform("a", lambda s: F.struct(s.r.alias("r"), s.x.alias("x")))).alias("b"))
+    part = t.groupBy("__c", F.shiftright(F.col("__t"), chunk_bits).alias("__k")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("__t").alias("t"), escaped(F.col("__r")).alias("r"), escaped(F.col("__x")).alias("x")))).alias("b")
     )
-    whole = part.groupBy("__c").agg(F.sort_array(F.collect_list(F.struct("__k", "b"))).alias("p"))
-    blocks = F.flatten(F.transform("p", lambda s: s.b))
-    return whole.select("__c", _merged(blocks).alias("b")).select(
+    part = _merged(part.withColumn("b", F.transform("b", lambda s: F.struct(s.r.alias("r"), s.x.alias("x")))))
+    whole = part.groupBy("__c").agg(F.sort_array(F.collect_list(F.struct("__k", "b"))).alias("b"))
+    whole = _merged(whole.withColumn("b", F.flatten(F.transform("b", lambda s: s.b))))
+    return whole.select(
         F.col("__c").alias(conv_id),
         F.array_join(F.transform("b", lambda s: F.concat(F.lit(OPEN), s.r, F.lit(MID), s.x, F.lit(CLOSE))), "").alias("formatted"),
     )
 
 
-def _merged(blocks: Column) -> Column:
-    """Adjacent blocks of one role as one, their texts joined by SEP; linear in the number of blocks."""
-    heads = F.filter(
-        F.transform(blocks, lambda s, i: F.when((i == 0) | (s.r != F.get(blocks, i - 1).r), i)), lambda i: i.isNotNull()
-    )
-    return F.transform(
-        heads,
-        lambda h, k: F.struct(
-            F.get(blocks, h).r.alias("r"),
-            F.array_join(F.transform(F.slice(blocks, h + 1, F.coalesce(F.get(heads, k + 1), F.size(blocks)) - h), lambda s: s.x), SEP).alias("x"),
-        ),
-    )
+def _merged(df: DataFrame) -> DataFrame:
+    """Adjacent blocks of one role in column ``b`` as one, their texts joined by SEP.
+
+    Linear in the number of blocks: ``b`` and the places of the first blocks are columns of their own before a
+    lambda looks into them, for a lambda computes an expression anew for every element.
+    """
+    head = F.transform("b", lambda s, i: F.when((i == 0) | (s.r != F.get(F.col("b"), i - 1).r), i))
+    df = df.withColumn("h", F.filter(head, lambda i: i.isNotNull()))
+    end = lambda k: F.coalesce(F.get(F.col("h"), k + 1), F.size("b"))
+    return df.withColumn(
+        "b",
+        F.transform("h", lambda h, k: F.struct(F.get(F.col("b"), h).r.alias("r"), F.array_join(F.transform(F.slice("b", h + 1, end(k) - h), lambda s: s.x), SEP).alias("x"))),
+    ).drop("h")
 
 
 def read_chats(formatted: DataFrame, conv_id: str = "conv_id", col: str = "formatted") -> DataFrame:
