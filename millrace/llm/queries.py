@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, licenses, mil, quality, toxicity, warc
+from . import bpe, chat, decontaminate, licenses, mil, quality, setjoin, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": quality.op1,
+        "op2_jaccard_join": setjoin.op2,
         "op3_attention_mil": mil.op3,
         "op4_fm_decontamination": decontaminate.op4,
         "op5_byte_bpe": bpe.op5,
@@ -23,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_fm_decontamination": decontaminate.OP4_SQL, "op7_chat_format": chat.OP7_SQL, "op9_warc_normaliser": warc.OP9_SQL}
+    return {"op2_jaccard_join": setjoin.OP2_SQL, "op4_fm_decontamination": decontaminate.OP4_SQL, "op7_chat_format": chat.OP7_SQL, "op9_warc_normaliser": warc.OP9_SQL}
