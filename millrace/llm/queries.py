@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, licenses, mil, quality, setjoin, toxicity, warc
+from . import bpe, chat, decontaminate, licenses, linededup, mil, quality, setjoin, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,8 +20,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_format": chat.op7,
         "op8_nnpu_toxicity": toxicity.op8,
         "op9_warc_normaliser": warc.op9,
+        "op10_line_dedup": linededup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": setjoin.OP2_SQL, "op4_fm_decontamination": decontaminate.OP4_SQL, "op7_chat_format": chat.OP7_SQL, "op9_warc_normaliser": warc.OP9_SQL}
+    return {"op2_jaccard_join": setjoin.OP2_SQL, "op4_fm_decontamination": decontaminate.OP4_SQL, "op7_chat_format": chat.OP7_SQL, "op9_warc_normaliser": warc.OP9_SQL, "op10_line_dedup": linededup.OP10_SQL}
