@@ -283,13 +283,15 @@ def encoder(path: str, pattern: str) -> Encoder:
         return Encoder(read_ranks(f.read()), pattern)
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
-    """One row per document: id, ``n_tokens``, ``ids`` (little-endian u32), ``decoded`` (bytes of the decoded ids).
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False) -> DataFrame:
+    """One row per document: id, ``n_tokens``; ``ids`` (little-endian u32) and ``decoded`` (bytes of the decoded ids) and their SHA-256, as asked for.
 
     ``path`` names a rank file that every executor has installed. Null and empty texts give no ids. Repeated
     rows are encoded each on their own. Other columns are not read.
     """
-    fields = [("n_tokens", "long"), *([("ids", "binary"), ("decoded", "binary")] if with_ids else [("ids_sha256", "string"), ("decoded_sha256", "string")])]
+    fields = [("n_tokens", "long")]
+    fields += [("ids", "binary"), ("decoded", "binary")] if with_ids else []
+    fields += [("ids_sha256", "string"), ("decoded_sha256", "string")] if with_digests else []
 
     def make():
         enc = encoder(path, pattern)
@@ -301,7 +303,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 for text in texts:
                     ids = enc.encode(text or "")
                     back = enc.decode(ids)
-                    rows.append((len(ids) // 4, ids, back) if with_ids else (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()))
+                    row = (len(ids) // 4, *((ids, back) if with_ids else ()))
+                    rows.append((*row, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()) if with_digests else row)
             finally:
                 gc.enable()
             return rows
@@ -334,4 +337,4 @@ def op5(spark, sf_dir):
 
     from .common import table
 
-    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
+    return encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False, with_digests=True)

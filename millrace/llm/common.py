@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of text that one Python step holds as Python objects.
 SLICE_ROWS = 512
@@ -30,6 +31,22 @@ def arrow_type(spark_type: str) -> pa.DataType:
     }[spark_type]
 
 
+def spark_type(name: str) -> T.DataType:
+    return {
+        "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "string": T.StringType(),
+        "binary": T.BinaryType(), "array<long>": T.ArrayType(T.LongType()), "array<int>": T.ArrayType(T.IntegerType()),
+    }[name]
+
+
+def out_schema(id_col: str, id_type: T.DataType, fields: list[tuple[str, str]]) -> T.StructType:
+    return T.StructType([T.StructField(id_col, id_type), *(T.StructField(n, spark_type(t)) for n, t in fields)])
+
+
+def with_row(docs: DataFrame, text_col: str) -> DataFrame:
+    """Columns ``row`` (all columns of ``docs``) and ``text``: an operator that takes ``row`` as id returns whole rows without a join."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+
+
 def map_texts(df: DataFrame, id_col: str, text: Column, make: Callable[[], Callable], fields: list[tuple[str, str]]) -> DataFrame:
     """One output row for each input row: the id column and ``fields``.
 
@@ -37,7 +54,6 @@ def map_texts(df: DataFrame, id_col: str, text: Column, make: Callable[[], Calla
     each text, in the order of ``fields``. Only the id and the text reach Python.
     """
     src = df.select(F.col(id_col).alias("__id"), text.alias("__text"))
-    id_type = src.schema["__id"].dataType.simpleString()
     types = [arrow_type(t) for _, t in fields]
     names = [id_col, *(n for n, _ in fields)]
 
@@ -53,8 +69,7 @@ def map_texts(df: DataFrame, id_col: str, text: Column, make: Callable[[], Calla
                     [part.column(0), *(pa.array(c, type=t) for c, t in zip(cols, types, strict=True))], names=names
                 )
 
-    schema = ", ".join([f"`{id_col}` {id_type}", *(f"`{n}` {t.replace('long', 'bigint')}" for n, t in fields)])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, out_schema(id_col, src.schema["__id"].dataType, fields))
 
 
 def work_dir(spark: SparkSession) -> str:

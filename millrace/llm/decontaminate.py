@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, table, utf8
+from .common import arrow_type, out_schema, table, utf8
 from .licenses import fold
 
 #: Words of a window; bytes of benchmark text in one block of queries; documents and words in one shard.
@@ -276,9 +276,7 @@ def find_contamination(
         if texts:
             yield rows_of(ids, texts)
 
-    id_type = src.schema["__id"].dataType.simpleString()
-    schema = ", ".join([f"`{id_col}` {id_type}", *(f"{n} {t.replace('long', 'bigint')}" for n, t in fields)])
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(run, out_schema(id_col, src.schema["__id"].dataType, fields))
 
 
 def op4(spark, sf_dir):
