@@ -1,0 +1,93 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.operators.joins import STRATEGIES, equi_join
+from millrace.telemetry import Telemetry, Totals
+from millrace.verify import Difference, compare, show
+
+TYPES = {"int": [1, 1, 2, -1, None], "bigint": [1 << 40, 1 << 40, 2, -1, None], "double": [1.5, 1.5, -0.25, 2.0, None], "string": ["a", "a", "é", "", None]}
+
+
+def bag(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def sides(spark, kind):
+    v = TYPES[kind]
+    left = spark.createDataFrame([(i, x) for i, x in enumerate(v)], f"a int, k {kind}")
+    right = spark.createDataFrame([(i, x) for i, x in enumerate(reversed(v))], f"b int, j {kind}")
+    want = sorted(((i, x, j, y) for i, x in enumerate(v) for j, y in enumerate(reversed(v)) if x is not None and x == y), key=repr)
+    return left, right, want
+
+
+@pytest.mark.parametrize("kind", TYPES)
+@pytest.mark.parametrize("strategy", STRATEGIES)
+def test_every_strategy_gives_the_same_bag(spark, kind, strategy):
+    left, right, want = sides(spark, kind)
+    for build_left in (True, False):
+        assert bag(equi_join(left, right, [("k", "j")], build_left, strategy)) == want
+
+
+def test_build_side_is_honoured(spark):
+    left, right, _ = sides(spark, "int")
+    left, right = left.cache(), right.cache()  # so that their sizes are known
+    left.count(), right.count()
+    for strategy, node in (("shuffle_hash", "ShuffledHashJoin"), ("broadcast", "BroadcastHashJoin")):
+        for build_left in (True, False):
+            plan = equi_join(left, right, [("k", "j")], build_left, strategy)._jdf.queryExecution().executedPlan().toString()
+            assert node in plan and ("BuildLeft" if build_left else "BuildRight") in plan
+
+
+def test_large_sides_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr("millrace.operators.joins.BROADCAST_BYTES", 10)
+    left, right, want = sides(spark, "int")
+    df = equi_join(left, right, [("k", "j")], False, "broadcast")
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() and bag(df) == want
+
+
+def test_empty_sides_and_several_keys(spark):
+    left, right, want = sides(spark, "int")
+    for a, b in ((left.limit(0), right), (left, right.limit(0)), (left.limit(0), right.limit(0))):
+        out = equi_join(a, b, [("k", "j")])
+        assert out.count() == 0 and out.columns == ["a", "k", "b", "j"]
+    assert bag(equi_join(left, right, [("k", "j"), ("a", "b")])) == [r for r in want if r[0] == r[2]]
+
+
+def test_many_keys_random(spark):
+    r = random.Random(5)
+    a, b = [(i, r.randrange(50)) for i in range(500)], [(i, r.randrange(50)) for i in range(300)]
+    df = equi_join(spark.createDataFrame(a, "x int, k int"), spark.createDataFrame(b, "y int, j int"), [("k", "j")], True, "shuffle_hash")
+    assert df.count() == sum(1 for _, k in a for _, j in b if k == j)
+
+
+def test_errors(spark):
+    left, right, _ = sides(spark, "int")
+    with pytest.raises(ValueError):
+        equi_join(left, right, [])
+    with pytest.raises(ValueError):
+        equi_join(left, right, [("k", "j")], strategy="guess")
+    with pytest.raises(TypeError):
+        equi_join(left, sides(spark, "string")[1], [("k", "j")])
+
+
+def test_totals():
+    t = Totals()
+    t.add(10, 20, 5, 3)
+    t.add(0, 20, 0, 3)
+    t.add(4, 6, 0, 3)
+    assert (t.joins, t.build_rows, t.probe_rows, t.out_rows, t.out_cells) == (1, 10, 20, 5, 15)
+    assert t.bytes_baseline_min == 4 * 30 + 8 * 15 and t.bytes_likely == 4 * 30 + 16 * 15
+    assert t.selectivity == 0.25 and t.columns_per_row == 3 and t.bounds_ms(10**9) == [100.0, 50.0, 25.0]
+    assert "selectivity 0.2500" in t.report(1.0) and Totals().selectivity == 0
+
+
+def test_compare(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (None, None)], "a int, b string")
+    assert compare(a, a.orderBy("a")) == 3
+    for other in (a.distinct(), a.select("a"), a.withColumn("a", F.col("a").cast("long"))):
+        with pytest.raises(Difference):
+            compare(a, other)
+    assert show([(1, 'q"\n', None)]) == '1|"q\\"\\n"|NULL'
+    assert Telemetry().totals() == Totals()

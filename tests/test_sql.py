@@ -1,0 +1,196 @@
+import json
+import random
+
+import duckdb
+import pytest
+
+from millrace.__main__ import main
+from millrace.catalog import MOVIE_TABLES, Catalog, movie_schema
+from millrace.plans.frontend import SqlError, analyse, run_sql
+from millrace.plans.plan import Plan, PlanError, execute, from_explain, load_workload, run_explain
+from millrace.telemetry import Telemetry
+
+R = [(i, i % 3 if i % 5 else None, s) for i, s in enumerate(["ab", "a%", None, "x\ny", "it's", "b", "é", "", "ab", "zz"])]
+S = [(i, i % 4 if i % 3 else None, i % 2, f"n{i % 3}") for i in range(12)]
+T = [(i, i % 5, float(i) / 2) for i in range(9)]
+DDL = {"r": ("id int, k int, s string", R), "s": ("id int, k int, j int, name string", S), "t": ("id int, j int, x double", T)}
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return Catalog({n: spark.createDataFrame(rows, ddl).cache() for n, (ddl, rows) in DDL.items()})
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for n, (ddl, rows) in DDL.items():
+        c.execute(f"create table {n} ({ddl.replace('string', 'varchar')})")
+        c.executemany(f"insert into {n} values ({', '.join('?' * len(rows[0]))})", rows)
+    return c
+
+
+def bag(rows):
+    return sorted((tuple(r) for r in rows), key=repr)
+
+
+def random_query(r: random.Random) -> str:
+    tables = [(r.choice("rst"), f"a{i}") for i in range(r.randrange(1, 5))]
+    keys = {"r": ["id", "k"], "s": ["id", "k", "j"], "t": ["id", "j"]}
+    where = [f"{r.choice(tables[:i])[1]}.id = a{i}.{r.choice(keys[t])}" if r.random() < 0.6 else f"a{i}.{r.choice(keys[t])} = a{(k := r.randrange(i))}.{r.choice(keys[tables[k][0]])}" for i, (t, _) in enumerate(tables) if i]
+    leaf = {
+        "r": lambda a: r.choice([f"{a}.s LIKE '%b%'", f"{a}.s NOT LIKE 'a_'", f"{a}.s IS NULL", f"{a}.s IS NOT NULL", f"{a}.k IN (0, 2)", f"{a}.s = 'it''s'", f"{a}.k NOT IN (1)", f"{a}.s >= 'b'"]),
+        "s": lambda a: r.choice([f"{a}.k BETWEEN 1 AND 2", f"{a}.name <> 'n1'", f"{a}.k = {a}.j", f"3 > {a}.k", f"{a}.id <= 7"]),
+        "t": lambda a: r.choice([f"{a}.x < 2.5", f"{a}.id >= 2", f"{a}.x NOT BETWEEN 1 AND 2", f"{a}.j != -1"]),
+    }
+    for t, a in tables:
+        if r.random() < 0.7:
+            p = leaf[t](a)
+            if r.random() < 0.5:
+                p = f"({p} OR {leaf[t](a)} AND {leaf[t](a)})"
+            if r.random() < 0.3:
+                p = f"NOT ({p})" if "= " + a not in p or "BETWEEN" in p else p
+            where.append(p)
+    cols = [f"{a}.id" for _, a in tables]
+    select = ", ".join(f"MIN({c}) AS m{i}" for i, c in enumerate(cols)) if r.random() < 0.4 else ", ".join(f"{c} AS c{i}" for i, c in enumerate(cols))
+    return f"SELECT {select} FROM {', '.join(f'{t} AS {a}' for t, a in tables)}" + (f" WHERE {' AND '.join(where)}" if where else "") + r.choice(["", ";"])
+
+
+@pytest.mark.parametrize("seed", range(25))
+def test_random_queries_agree_with_duckdb(tables, duck, seed):
+    text = random_query(random.Random(seed))
+    assert bag(run_sql(text, tables).collect()) == bag(duck.execute(text).fetchall()), text
+
+
+def test_two_valued_not(tables):
+    text = "SELECT id FROM r WHERE NOT (k = 1)"
+    assert [x.id for x in run_sql(text, tables).orderBy("id").collect()] == [2, 3, 6, 8, 9]
+    assert [x.id for x in run_sql(text, tables, two_valued=True).orderBy("id").collect()] == [0, 2, 3, 5, 6, 8, 9]
+
+
+def test_names_and_pipeline(tables):
+    df = run_sql("SELECT r.s, r.s, MIN(r.id) FROM r".replace(", MIN(r.id)", ""), tables)
+    assert df.columns == ["s", "s_2"]
+    assert run_sql("SELECT MIN(id), MIN(s) FROM r", tables).columns == ["min(id)", "min(s)"]
+    assert run_sql("SELECT MIN(r.id) AS a FROM r, s WHERE r.id = s.id", tables, pipeline=True).count() == 10
+    assert run_sql("SELECT name FROM r, s WHERE r.s = 'b' AND r.id = s.id -- unqualified\n", tables).collect()[0].name == "n2"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "SELECT id FROM r, s", "SELECT r.id FROM r, s WHERE r.id > s.id", "SELECT r.id FROM r, s", "SELECT x FROM r", "SELECT r.id FROM r, r", "SELECT id FROM nope",
+        "SELECT r.id FROM r, s WHERE NOT (r.id = s.id)", "SELECT r.id FROM r, s WHERE r.id = s.id OR r.k = 1", "SELECT id FROM r WHERE id IN (NULL)", "SELECT id FROM r LIMIT 3",
+        "SELECT id FROM r WHERE s LIKE 5", "SELECT sum(id) FROM r", "SELECT id, MIN(k) FROM r", "SELECT id FROM r WHERE", "SELECT id FROM r WHERE id = ?", "SELECT id + 1 FROM r",
+    ],
+)
+def test_rejected_texts(tables, text):
+    with pytest.raises(SqlError):
+        run_sql(text, tables).collect()
+
+
+def test_classes_close_over_equalities():
+    q = analyse("SELECT MIN(a.x) FROM p AS a, p AS b, p AS c, p AS d WHERE a.x = b.x AND b.x = c.x AND c.y = d.y AND a.y = a.x", {"p": ["x", "y"]})
+    assert q.classes == [frozenset({"a.x", "a.y", "b.x", "c.x"}), frozenset({"c.y", "d.y"})]
+    assert q.keys_between({"a"}, {"c"}) == [("a.x", "c.x")] and q.keys_between({"a"}, {"d"}) == []
+    assert q.keys_between({"a", "c"}, {"b", "d"}) == [("a.x", "b.x"), ("c.y", "d.y")] and q.filters["a"].pretty() == "a.x = a.y"
+
+
+def seq(alias, kind="Seq Scan"):
+    return {"Node Type": kind, "Alias": alias}
+
+
+def hashed(x):
+    return {"Node Type": "Hash", "Plans": [x]}
+
+
+def join(a, b):
+    return {"Node Type": "Hash Join", "Plans": [a, b]}
+
+
+TEXT = "SELECT MIN(a.id) AS a, MIN(c.x) AS x FROM r AS a, s AS b, t AS c WHERE a.id = b.id AND b.id = c.id AND b.k > 0"
+TREES = [
+    join(join(seq("a"), hashed(seq("b"))), hashed(seq("c"))),
+    join(hashed(join(hashed(seq("a", "Index Only Scan")), seq("c"))), seq("b")),
+    {"Node Type": "Aggregate", "Plans": [{"Node Type": "Gather", "Plans": [join(hashed(seq("b")), join(seq("c"), hashed(seq("a"))))]}]},
+]
+
+
+@pytest.mark.parametrize("tree", TREES)
+@pytest.mark.parametrize("strategy", ["shuffle_hash", "broadcast", "merge", "auto"])
+def test_explain_trees_agree(tables, duck, tree, strategy):
+    assert bag(run_explain(TEXT, {"Plan": tree}, tables, strategy).collect()) == bag(duck.execute(TEXT).fetchall())
+
+
+def test_explain_build_sides_and_telemetry(spark, tables):
+    query, watch = analyse(TEXT, {n: df.columns for n, df in tables.items()}), Telemetry()
+    plan = from_explain({"Plan": TREES[1]}, query, tables)
+    assert [n.build_left for n in plan.nodes if hasattr(n, "build_left")] == [True, True]
+    df = execute(plan, observer=watch)
+    assert df.columns == ["c0", "c1"] and "BuildLeft" in df._jdf.queryExecution().executedPlan().toString()
+    n = len(df.collect())
+    total = watch.totals()
+    assert total.joins == 2 and total.build_rows == 10 + 9 and total.probe_rows == 9 + sum(1 for r in S if r[1]) and total.out_rows == 9 + n
+
+
+@pytest.mark.parametrize(
+    "tree",
+    [
+        {"Node Type": "Nested Loop", "Plans": [seq("a"), seq("b")]}, join(seq("a"), seq("b")), join(hashed(seq("a")), hashed(seq("b"))), {"Node Type": "Merge Join", "Plans": []},
+        join(join(seq("a"), hashed(seq("b"))), hashed(seq("z"))), join(join(seq("a"), hashed(seq("b"))), hashed({"Node Type": "Seq Scan"})), join(seq("a"), hashed(seq("b"))),
+        join(join(seq("a"), hashed({"Node Type": "Index Scan", "Alias": "b"})), hashed(seq("c"))), {"Node Type": "Gather", "Plans": []},
+    ],
+)
+def test_bad_trees(tables, tree):
+    with pytest.raises(PlanError):
+        run_explain(TEXT, {"Plan": tree}, tables)
+
+
+def test_no_edge_between_sides(tables):
+    with pytest.raises(PlanError):
+        run_explain("SELECT a.id FROM r AS a, s AS b WHERE a.id = 1", {"Plan": join(seq("a"), hashed(seq("b")))}, tables)
+
+
+def test_plan_builder(spark, tables):
+    plan = Plan()
+    a = plan.new_scan(plan.new_input(tables["r"]), [1, 0])
+    j = plan.new_join(True, a, a, [0, 1], [0, 1], [3, 0, 0])
+    assert (a, j, plan.root) == (0, 1, 1)
+    assert bag(execute(plan).collect()) == bag((i, k, k) for i, k, _ in R if k is not None)
+    for bad in (lambda: plan.new_scan(5, [0]), lambda: plan.new_scan(0, [9]), lambda: plan.new_join(True, 0, 9, 0, 0, []), lambda: plan.new_join(True, 0, 0, 5, 0, []), lambda: plan.new_join(True, 0, 0, 0, 0, [4]), lambda: execute(Plan())):
+        with pytest.raises(PlanError):
+            bad()
+
+
+def test_workload_runner(spark, tables, tmp_path, capsys):
+    (tmp_path / "sql").mkdir()
+    (tmp_path / "sql/q1.sql").write_text(TEXT + ";")
+    (tmp_path / "w.json").write_text(json.dumps({"sql_directory": "sql", "names": ["q1"], "plans": [{"Plan": TREES[0]}]}))
+    for n, df in tables.items():
+        df.write.parquet(str(tmp_path / f"data/{n}.parquet"))
+    assert load_workload(str(tmp_path / "w.json"))["q1"][0].startswith("SELECT")
+    for more in ([], ["--pipeline"], ["--sql"], ["q1", "--telemetry", "--times", str(tmp_path / "times")]):
+        assert main(["run", str(tmp_path / "w.json"), "--tables", str(tmp_path / "data"), *more], spark) == 0
+    out = capsys.readouterr()
+    assert out.out.count("correct") == 4 and "joins 2" in out.err and (tmp_path / "times").read_text().startswith("q1 ")
+
+
+def test_movie_schema_joins(spark):
+    """A query over the movie schema: seven tables, one joined twice."""
+    assert len(MOVIE_TABLES) == 21 and movie_schema("title").simpleString().startswith("struct<id:int,title:string,imdb_index:string,kind_id:int")
+    r, data = random.Random(2), {}
+    for name in MOVIE_TABLES:
+        fields = movie_schema(name).fields
+        rows = []
+        for i in range(1, 31):
+            rows.append(tuple(i if f.name == "id" else (None if r.random() < 0.15 else r.randrange(1, 31)) if f.dataType.simpleString() == "int" else r.choice([None, "top", "rating", "movie", "(co-production)", "Ann"]) for f in fields))
+        data[name] = rows
+    catalog = Catalog({n: spark.createDataFrame(rows, movie_schema(n)) for n, rows in data.items()})
+    text = (
+        "SELECT MIN(t.title) AS a, MIN(mi.info) AS b, MIN(i2.id) AS c FROM company_type AS ct, info_type AS i1, info_type AS i2, movie_companies AS mc, movie_info AS mi, movie_info_idx AS mx, title AS t "
+        "WHERE i1.info IN ('top', 'rating', 'movie') AND (mc.note LIKE '%co%' OR mc.note IS NULL) AND t.production_year BETWEEN 3 AND 28 AND ct.id = mc.company_type_id AND t.id = mc.movie_id "
+        "AND t.id = mi.movie_id AND mc.movie_id = mi.movie_id AND mi.info_type_id = i1.id AND mx.movie_id = t.id AND mx.info_type_id = i2.id"
+    )
+    catalog.views()
+    assert bag(run_sql(text, catalog).collect()) == bag(spark.sql(text).collect())
+    assert run_sql(text, catalog, pipeline=True).count() == spark.sql("SELECT 1" + text[text.index(" FROM") :]).count()
