@@ -89,6 +89,16 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Largest side that an operator broadcasts, in values of eight bytes. A larger side is joined by shuffle.
+BROADCAST_VALUES = 4_000_000
+
+
+def small(df: DataFrame, values: str | int = 1) -> DataFrame:
+    """``df`` marked for broadcast if its rows hold few values; ``values`` counts those of a row. Reads ``df``, a written table."""
+    total = df.agg(F.sum(F.expr(str(values)))).first()[0] or 0
+    return F.broadcast(df) if total <= BROADCAST_VALUES else df
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's context cleaner drop the shuffle files of frames that are no longer referenced."""
     import gc

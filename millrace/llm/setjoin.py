@@ -10,11 +10,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release, table, utf8, work_dir, written
+from .common import partitions, release, small, table, utf8, work_dir, written
 from .components import components
 
 #: Words of a shingle; similarity as a fraction; most sets one block of the local join holds; 64-bit words of a sketch.
-SHINGLE, NUM, DEN, BLOCK, SKETCH = 5, 3, 4, 1024, 8
+SHINGLE, NUM, DEN, BLOCK, SKETCH = 5, 3, 4, 1024, 4
 #: Word hashes one task remembers.
 MAX_WORDS = 300_000
 
@@ -25,6 +25,8 @@ _ORDERS = (_U(1), _U(0x9E3779B97F4A7C15))
 
 _OWNER = np.dtype([("r", "<i8"), ("n", "<u4")])
 _ENTRY = np.dtype([("t", "<u8"), ("i", "<u2")])
+_SUMMED = np.dtype([("k", "<u4"), ("i", "<u4")])
+_NAMED = np.dtype([("r", "<i8"), ("c", "<i8"), ("n", "<u4")])
 _COUNTED = np.dtype([("t", "<u8"), ("d", "<u4"), ("i", "<u4")])
 _SIGNED = np.dtype([("r", "<i8"), ("c", "<i8"), ("n", "<u4"), ("m", "<u4"), ("s", "<u8", (SKETCH,))])
 _PLACED = np.dtype([("t", "<u8"), ("p", "<u4"), ("i", "<u4")])
@@ -213,10 +215,11 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return src.mapInArrow(run, "__id bigint, n int, k1 bigint, k2 bigint")
 
 
-def _shared_counts(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
-    """Rows (k1, c): how many elements of the set's hash-ordered prefix some other set's prefix has too.
+def _partnered(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
+    """Rows (k1): the sets whose hash-ordered prefix shares so many elements with other sets' that they may link.
 
-    Equal sets of one batch count once before the shuffle and once after it.
+    Equal sets of one batch count once before the shuffle and once after it. Counts go from the elements' tasks
+    to the sets' as packed columns, one row for each pair of tasks.
     """
 
     def emit(batches):
@@ -240,18 +243,32 @@ def _shared_counts(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
 
     def count(batches):
         own, ent = unpack(batches, _OWNER, _ENTRY)
-        t, k = ent["t"], own["r"]
+        t, k, n = ent["t"], own["r"], own["n"]
         order = np.lexsort((k, t))
-        t, k = t[order], k[order]
+        t, k, n = t[order], k[order], n[order]
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]) if len(t) else np.zeros(0, bool)
         t, k = t[new], k[new]
         _, size = _runs(t)
-        keys, c = np.unique(k[np.repeat(size, size) >= 2], return_counts=True)
-        for at in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(c[at : at + 50_000].astype(np.int64))], names=["k1", "c"])
+        keys, first, c = np.unique(k[np.repeat(size, size) >= 2], return_index=True, return_counts=True)
+        if len(keys):
+            owners = np.zeros(len(keys), _OWNER)
+            owners["r"], owners["n"] = keys, n[new][np.repeat(size, size) >= 2][first]
+            out = np.zeros(len(keys), _SUMMED)
+            out["k"], out["i"] = c, np.arange(len(keys))
+            yield pack_by_part(parts, owners, out, _part_of(keys.view(_U), parts))
+
+    def total(batches):
+        own, ent = unpack(batches, _OWNER, _SUMMED)
+        order = np.argsort(own["r"], kind="stable")
+        own, k = own[order], ent["k"][order].astype(np.int64)
+        first, _ = _runs(own["r"])
+        if len(first):
+            need = _extra(least_overlap(own["n"][first].astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(own["r"][first][np.add.reduceat(k, first) >= need])], names=["k1"])
 
     src = docs.select(utf8(text_col).alias("__t"))
-    return _dealt(src.mapInArrow(emit, _PACKED), parts, count, "k1 bigint, c bigint").groupBy("k1").agg(F.sum("c").alias("c"))
+    rows = _dealt(src.mapInArrow(emit, _PACKED), parts, count, _PACKED)
+    return _dealt(rows, parts, total, "k1 bigint")
 
 
 def _bucket_links(sets: DataFrame, parts: int) -> DataFrame:
@@ -312,20 +329,23 @@ def _candidates(sets: DataFrame, parts: int) -> DataFrame:
     def emit(batches):
         for batch in batches:
             r, s, c = (batch.column(k).to_pylist() for k in range(3))
-            own = np.zeros(len(r), _SIGNED)
+            own = np.zeros(len(r), _NAMED)
             sets_ = [np.frombuffer(b, _U) for b in s]
             own["r"], own["c"], own["n"] = r, c, [len(x) for x in sets_]
             for at in range(0, len(r), 4096):
                 some = sets_[at : at + 4096]
-                ent = np.empty(sum(map(len, some)), _COUNTED)
-                ent["t"], ent["d"] = np.concatenate(some), 0
-                ent["i"] = np.repeat(np.arange(at, at + len(some)), [len(x) for x in some])
-                yield pack_by_part(parts, own, ent, _part_of(ent["t"], parts))
+                ent = np.empty(sum(map(len, some)), _ENTRY)
+                ent["t"] = np.concatenate(some)
+                ent["i"] = np.repeat(np.arange(len(some)), [len(x) for x in some])
+                yield pack_by_part(parts, own[at : at + len(some)], ent, _part_of(ent["t"], parts))
 
     def count(batches):
-        own, ent = unpack(batches, _SIGNED, _COUNTED)
+        own, ent = unpack(batches, _NAMED, _ENTRY)
         order = np.lexsort((own["r"], ent["t"]))
         own, ent = own[order], ent[order]
+        if len(ent):  # a repeated row counts once
+            once = np.concatenate([[True], (ent["t"][1:] != ent["t"][:-1]) | (own["r"][1:] != own["r"][:-1])])
+            own, ent = own[once], ent[once]
         _, size = _runs(ent["t"])
         d = np.repeat(size, size)
         own, ent = own[d >= 2], ent[d >= 2]
@@ -338,13 +358,15 @@ def _candidates(sets: DataFrame, parts: int) -> DataFrame:
         yield pack_by_part(parts, owners, out, _part_of(owners["r"].view(_U), parts)[out["i"]])
 
     def sign(batches):
-        own, ent = unpack(batches, _SIGNED, _COUNTED)
+        own, ent = unpack(batches, _NAMED, _COUNTED)
         if not len(ent):
             return
         order = np.lexsort((ent["t"], ent["d"], own["r"]))
         own, ent = own[order], ent[order]
         first, size = _runs(own["r"])
-        owners = own[first].copy()
+        owners = np.zeros(len(first), _SIGNED)
+        for f in ("r", "c", "n"):
+            owners[f] = own[f][first]
         n = owners["n"].astype(np.int64)
         owners["m"] = size
         which = np.repeat(np.arange(len(first)), size)
@@ -430,9 +452,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(shingle_sets(docs, id_col, text_col), f"{folder}/rows")
     classes = written(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("__id").alias("r"), F.first("n").alias("n")), f"{folder}/classes")
 
-    least = F.ceil(F.col("n") * F.lit(NUM) / F.lit(DEN))
-    counted = _shared_counts(docs, text_col, parts)
-    alive = written(classes.where("r IS NOT NULL").join(counted, "k1").where(F.col("c") >= F.greatest(F.lit(1), F.floor(least / 4))).select("r", "k1", "k2"), f"{folder}/alive")
+    partnered = _partnered(docs, text_col, parts).distinct()
+    alive = written(classes.where("r IS NOT NULL").join(partnered, "k1").select("r", "k1", "k2"), f"{folder}/alive")
     release(spark)
 
     def sets_of(batches):
@@ -445,8 +466,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append((r, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["r", "s"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("r"), utf8(text_col).alias("t")).join(alive, "r")
-    sets = written(texts.select("r", "t", "k1", "k2").mapInArrow(sets_of, "r bigint, s binary").dropDuplicates(["r", "s"]), f"{folder}/sets")
+    texts = docs.select(F.col(id_col).cast("long").alias("r"), utf8(text_col).alias("t")).join(small(alive, 3), "r")
+    sets = written(texts.select("r", "t", "k1", "k2").mapInArrow(sets_of, "r bigint, s binary"), f"{folder}/sets")
     release(spark)
 
     near = components(_bucket_links(sets, parts), f"{folder}/near")
