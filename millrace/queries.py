@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from .catalog import Catalog
 from .functions.predicates import Compare, IsNull, Not, Predicate
-from .operators.joins import equi_join
+from .operators.joins import STRATEGIES, equi_join
 from .plans.frontend import run_sql
 from .plans.plan import Plan, execute, run_explain
+from .sources.csv import FilteredCache, read_csv, write_csv
+from .sources.pages import read_pages, write_pages
+from .sources.scratch import scratch
+from .telemetry import Telemetry
 
 TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels"]
 
@@ -73,7 +77,13 @@ DERIVED_SQL = {
     "pipeline_no_agg": "SELECT p.p_name, o.o_orderkey FROM part AS p, lineitem AS l, orders AS o WHERE p.p_partkey = l.l_partkey AND l.l_orderkey = o.o_orderkey AND p.p_size = 1 AND o.o_orderstatus = 'P'",
     "plan_builder_join": "SELECT r_name AS c0, n_name AS c1, n_nationkey AS c2 FROM nation, region WHERE n_regionkey = r_regionkey",
     "plan_explain_bushy": "SELECT MIN(c.c_name) AS customer, MIN(s.s_name) AS supplier FROM orders AS o, customer AS c, lineitem AS l, supplier AS s WHERE o.o_custkey = c.c_custkey AND o.o_orderkey = l.l_orderkey AND l.l_suppkey = s.s_suppkey AND s.s_acctbal < 1000.0 AND c.c_mktsegment = 'BUILDING'",
+    "source_csv_round_trip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 5",
+    "source_pages_round_trip": "SELECT p_partkey, p_name, p_size, p_retailprice FROM part",
+    "scan_cached_filter": "SELECT p_partkey, p_type FROM part WHERE p_type = 'PROMO' AND p_size > 25",
+    "telemetry_join_rows": "SELECT CAST(25 AS BIGINT) AS probe_rows, CAST(5 AS BIGINT) AS build_rows, CAST(COUNT(*) AS BIGINT) AS out_rows FROM nation, region WHERE n_regionkey = r_regionkey",
 }
+#: Every strategy must give the bag of one join.
+DERIVED_SQL |= {f"join_strategy_{s}": "SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey AND s_acctbal > 0.0" for s in STRATEGIES}
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -147,6 +157,37 @@ def _bushy(spark, sf_dir):
     return run_explain(text, {"Plan": {"Node Type": "Aggregate", "Plans": [{"Node Type": "Gather", "Plans": [tree]}]}}, _catalog(spark, sf_dir, text))
 
 
+def _csv(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_acctbal")
+    write_csv(df, path := scratch(spark))
+    return read_csv(spark, path, df.schema, Compare("c_nationkey", "<", 5), multi_line=False)
+
+
+def _pages(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    write_pages(df, path := scratch(spark)).collect()
+    return read_pages(spark, path, df.columns)
+
+
+def _cached(spark, sf_dir):
+    where = Compare("p_type", "=", "PROMO") & Compare("p_size", ">", 25)
+    return FilteredCache(scratch(spark)).get("part", spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type", "p_size"), where).select("p_partkey", "p_type")
+
+
+def _strategy(strategy: str) -> Query:
+    text = DERIVED_SQL[f"join_strategy_{strategy}"]
+    return lambda spark, sf_dir: run_sql(text, _catalog(spark, sf_dir, text), strategy)
+
+
+def _telemetry(spark, sf_dir):
+    t, plan, watch = _catalog(spark, sf_dir, "nation region"), Plan(), Telemetry()
+    n, r = plan.new_scan(plan.new_input(t["nation"]), [0, 2]), plan.new_scan(plan.new_input(t["region"]), [0])
+    plan.new_join(False, n, r, 1, 0, [0, 2])
+    execute(plan, observer=watch).write.format("noop").mode("overwrite").save()
+    total = watch.totals()
+    return spark.range(1).select(*(F.lit(x).cast("long").alias(k) for k, x in (("probe_rows", total.probe_rows), ("build_rows", total.build_rows), ("out_rows", total.out_rows))))
+
+
 def queries() -> dict[str, Query]:
     return {name: _spj(text) for name, text in SQL.items()} | {
         "filter_is_null": _status(IsNull("st")),
@@ -162,7 +203,11 @@ def queries() -> dict[str, Query]:
         "pipeline_no_agg": _pipeline,
         "plan_builder_join": _builder,
         "plan_explain_bushy": _bushy,
-    }
+        "source_csv_round_trip": _csv,
+        "source_pages_round_trip": _pages,
+        "scan_cached_filter": _cached,
+        "telemetry_join_rows": _telemetry,
+    } | {f"join_strategy_{s}": _strategy(s) for s in STRATEGIES}
 
 
 def oracle_sql() -> dict[str, str]:
