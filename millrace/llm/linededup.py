@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, table, work_dir, written
+from .common import release, small, table, work_dir, written
 
 #: Flags of a line: which of its halves some other line shares. The first two are of its own length, the others of one word less.
 HEAD, TAIL, HEAD_SHORT, TAIL_SHORT = 1, 2, 4, 8
@@ -99,8 +99,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
     flags = keys.join(shared, "key").groupBy("h1", "h2").agg(F.bit_or("flag").alias("flags"))
     flagged = first.select("h1", "h2", "o", "n").join(flags, ["h1", "h2"])
-    by_doc = flagged.groupBy("o.d", "o.th").agg(F.collect_list(F.struct("o", "n", "flags", "h1", "h2")).alias("x"))
-    texts = src.join(by_doc.toDF("d_", "th_", "x"), F.col("d").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("th_")))
+    by_doc = written(flagged.groupBy("o.d", "o.th").agg(F.collect_list(F.struct("o", "n", "flags", "h1", "h2")).alias("x")), f"{folder}/flagged")
+    release(spark)
+    texts = src.join(small(by_doc.toDF("d_", "th_", "x"), "2 + 7 * size(x)"), F.col("d").eqNullSafe(F.col("d_")) & (F.col("th") == F.col("th_")))
     texts = texts.withColumn("ls", F.split("t", "\n")).select("ls", F.explode("x").alias("x")).select("x.*", words_of(F.get("ls", F.col("x.o.p"))).alias("w"))
     near_lines = written(texts.dropDuplicates(["h1", "h2"]), f"{folder}/near")
     release(spark)
@@ -125,7 +126,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = lines.select("d", "th", "p", "h1", "h2").join(known, ["h1", "h2"]).where(F.col("near") | (place > F.col("o")))
     gone = written(gone.groupBy("d", "th").agg(F.collect_set("p").alias("__gone")), f"{folder}/gone").toDF("__d", "__th", "__gone")
     release(spark)
-    out = docs.withColumn("__h", _h(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__th")), "left")
+    out = docs.withColumn("__h", _h(text_col)).join(small(gone, "2 + size(__gone)"), F.col(id_col).eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__th")), "left")
     out = out.withColumn("__l", F.split(text_col, "\n"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__l"), i)), "\n"))
