@@ -29,7 +29,7 @@ SQL = {
     "filter_int_neq": "SELECT p_partkey, p_size FROM part WHERE p_size != 15",
     "filter_int_lt_gt": "SELECT p_partkey, p_size FROM part WHERE p_size > 10 AND p_size < 15",
     "filter_int_le_ge": "SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size <= 15",
-    "filter_bigint_range": "SELECT o_orderkey FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 200",
+    "filter_bigint_range": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey >= 500 AND o_custkey < 900",
     "filter_fp64_range": "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal < 0.0",
     "filter_str_eq": "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority = '1-URGENT'",
     "filter_str_neq": "SELECT r_regionkey, r_name FROM region WHERE r_name != 'ASIA'",
@@ -49,7 +49,7 @@ SQL = {
     "join_int32_key": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey",
     "join_bigint_key": "SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT'",
     "join_string_key": "SELECT d.doc_id, b.item_id FROM documents AS d, benchmark AS b WHERE d.text = b.text",
-    "join_two_keys": "SELECT a.l_orderkey, a.l_linenumber, b.l_suppkey FROM lineitem AS a, lineitem AS b WHERE a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.l_orderkey < 200",
+    "join_two_keys": "SELECT a.l_orderkey, a.l_linenumber, b.l_suppkey FROM lineitem AS a, lineitem AS b WHERE a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber",
     "join_duplicate_keys_bag": "SELECT a.n_name AS n1, b.n_name AS n2 FROM nation AS a, nation AS b WHERE a.n_regionkey = b.n_regionkey",
     "join_empty_build": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name = 'ATLANTIS'",
     "join_self_alias": "SELECT n1.n_name AS supp_nation, n2.n_name AS cust_nation, o.o_orderkey FROM nation AS n1, nation AS n2, supplier AS s, customer AS c, orders AS o, lineitem AS l WHERE s.s_nationkey = n1.n_nationkey AND c.c_nationkey = n2.n_nationkey AND s.s_suppkey = l.l_suppkey AND o.o_orderkey = l.l_orderkey AND c.c_custkey = o.o_custkey AND n1.n_name = 'NATION_1' AND n2.n_name IN ('NATION_2', 'NATION_3')",
@@ -69,8 +69,8 @@ DERIVED_SQL = {
     "filter_null_comparison_excludes": f"SELECT o_orderkey, st FROM {_STATUS} WHERE st != 'F'",
     "filter_not_two_valued": f"SELECT o_orderkey, st FROM {_STATUS} WHERE NOT COALESCE(st = 'F', FALSE)",
     "filter_not_sql": f"SELECT o_orderkey, st FROM {_STATUS} WHERE NOT (st = 'F')",
-    "join_string_key_dups": "SELECT c.c_custkey, p.p_partkey FROM (SELECT c_custkey, SUBSTR(c_mktsegment, 1, 1) AS k FROM customer WHERE c_custkey < 100) c, (SELECT p_partkey, SUBSTR(p_type, 1, 1) AS k FROM part WHERE p_partkey < 100) p WHERE c.k = p.k",
-    "join_fp64_key": "SELECT l_orderkey, l_linenumber, p_partkey FROM lineitem, part WHERE l_quantity = p_retailprice - 880.0 AND l_orderkey < 50",
+    "join_string_key_dups": "SELECT c_custkey, s_suppkey FROM (SELECT c_custkey, 'NATION_' || CAST(c_nationkey AS VARCHAR) AS ck FROM customer) c, (SELECT s_suppkey, 'NATION_' || CAST(s_nationkey AS VARCHAR) AS sk FROM supplier) s WHERE ck = sk",
+    "join_fp64_key": "SELECT l_orderkey, l_linenumber, p_partkey FROM lineitem, part WHERE l_quantity = p_retailprice - 880.0",
     "join_null_keys_drop": "SELECT n_name, r_name FROM (SELECT n_name, NULLIF(n_regionkey, 2) AS k FROM nation) n, (SELECT r_name, NULLIF(r_regionkey, 2) AS k2 FROM region) r WHERE n.k = r.k2",
     "join_negative_one_key": "SELECT n_name, r_name FROM (SELECT n_name, n_regionkey - 1 AS k FROM nation) n, (SELECT r_name, r_regionkey - 1 AS k2 FROM region) r WHERE n.k = r.k2",
     "agg_min_ignores_null": "SELECT MIN(NULLIF(o_orderpriority, '1-URGENT')) AS p FROM orders, customer WHERE o_custkey = c_custkey",
@@ -105,16 +105,16 @@ def _status(where: Predicate, two_valued: bool = False) -> Query:
 
 
 def _string_dups(spark, sf_dir):
-    t = _catalog(spark, sf_dir, "customer part")
-    c = t["customer"].where("c_custkey < 100").select("c_custkey", F.substring("c_mktsegment", 1, 1).alias("ck"))
-    p = t["part"].where("p_partkey < 100").select("p_partkey", F.substring("p_type", 1, 1).alias("pk"))
-    return equi_join(c, p, [("ck", "pk")]).select("c_custkey", "p_partkey")
+    t = _catalog(spark, sf_dir, "customer supplier")
+    key = lambda c: F.concat(F.lit("NATION_"), F.col(c).cast("string"))
+    c, s = t["customer"].select("c_custkey", key("c_nationkey").alias("ck")), t["supplier"].select("s_suppkey", key("s_nationkey").alias("sk"))
+    return equi_join(c, s, [("ck", "sk")]).select("c_custkey", "s_suppkey")
 
 
 def _fp64(spark, sf_dir):
     t = _catalog(spark, sf_dir, "lineitem part")
     part = t["part"].select("p_partkey", (F.col("p_retailprice") - 880.0).alias("k"))
-    return equi_join(t["lineitem"].where("l_orderkey < 50").select("l_orderkey", "l_linenumber", "l_quantity"), part, [("l_quantity", "k")]).select("l_orderkey", "l_linenumber", "p_partkey")
+    return equi_join(t["lineitem"].select("l_orderkey", "l_linenumber", "l_quantity"), part, [("l_quantity", "k")]).select("l_orderkey", "l_linenumber", "p_partkey")
 
 
 def _regions(key: Callable[[str], "F.Column"]) -> Query:
