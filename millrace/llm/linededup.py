@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from .common import release, small, table, work_dir, written
 
-#: Flags of a line: which of its halves some other line shares. The first two are of its own length, the others of one word less.
-HEAD, TAIL, HEAD_SHORT, TAIL_SHORT = 1, 2, 4, 8
+#: Flags of a line: which of its halves a line of its own length shares, which one a line of one word less shares,
+#: and whether a line of one word more shares either.
+HEAD, TAIL, HEAD_SHORT, TAIL_SHORT, LONGER = 1, 2, 4, 8, 16
 
 
 def words_of(line: Column) -> Column:
-    return F.array_remove(F.split(line, "[ \\t-\\r]+"), "")
+    """The words of a line; one empty word where there is none."""
+    return F.split(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")), "[ \\t-\\r]+")
 
 
 def _h(*cols: Column | str) -> Column:
@@ -39,7 +41,7 @@ def _variants() -> Column:
     apart. Role D: the line without a word; role F: the whole line, to meet role D of a line one word longer.
     Each key is made of two halves so that a fixed half is hashed once.
     """
-    n, w = F.col("n"), F.col("w")
+    n, w = F.col("n"), F.col("hw")
     b, q = F.expr("n div 2").cast("int"), F.expr("(n - 1) div 2").cast("int")
     flag = lambda bit: F.col("flags").bitwiseAND(bit) != 0
     none = F.expr("cast(array() as array<struct<role:int,key:bigint>>)")
@@ -52,7 +54,7 @@ def _variants() -> Column:
         F.when(flag(TAIL), span(zero, b, lambda i: row(0, _h(F.lit(2), n, i, without(zero, b, i), F.col("a2"))))).otherwise(none),
         F.when(flag(HEAD_SHORT), span(q, n, lambda i: row(1, _h(F.lit(3), n - 1, F.col("c1"), without(q, n, i))))).otherwise(none),
         F.when(flag(TAIL_SHORT), span(zero, q + 1, lambda i: row(1, _h(F.lit(3), n - 1, without(zero, q + 1, i), F.col("c2"))))).otherwise(none),
-        F.when(flag(HEAD) | flag(TAIL), F.array(row(2, _h(F.lit(3), n, F.col("a1"), F.col("a2"))))).otherwise(none),
+        F.when(flag(LONGER), F.array(row(2, _h(F.lit(3), n, F.col("a1"), F.col("a2"))))).otherwise(none),
     )
 
 
@@ -96,8 +98,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     keys = first.select("h1", "h2", F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.col(f"k{f}").alias("key")) for f in (HEAD, TAIL, HEAD_SHORT, TAIL_SHORT)))).alias("x"))
     keys = keys.select("h1", "h2", "x.flag", "x.key")
-    shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("key")
-    flags = keys.join(shared, "key").groupBy("h1", "h2").agg(F.bit_or("flag").alias("flags"))
+    long = F.col("flag") >= HEAD_SHORT  # of a line that is one word longer than the key says
+    shared = keys.groupBy("key").agg(
+        F.min(F.when(~long, F.col("h1"))).alias("a"), F.max(F.when(~long, F.col("h1"))).alias("b"), F.max(long).alias("longer")
+    ).where("a != b OR a IS NOT NULL AND longer")
+    bits = F.when(long, F.when(F.col("a").isNotNull(), F.col("flag")).otherwise(0)).otherwise(
+        F.when(F.col("a") != F.col("b"), F.col("flag")).otherwise(0) + F.when(F.col("longer"), LONGER).otherwise(0)
+    )
+    flags = keys.join(shared, "key").groupBy("h1", "h2").agg(F.bit_or(bits).alias("flags")).where("flags != 0")
     flagged = first.select("h1", "h2", "o", "n").join(flags, ["h1", "h2"])
     by_doc = written(flagged.groupBy("o.d", "o.th").agg(F.collect_list(F.struct("o", "n", "flags", "h1", "h2")).alias("x")), f"{folder}/flagged")
     release(spark)
@@ -107,9 +115,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     release(spark)
 
     b, q = F.expr("n div 2").cast("int"), F.expr("(n - 1) div 2").cast("int")
-    halves = near_lines.withColumns({
-        "a1": _h(F.slice("w", F.lit(1), b)), "a2": _h(F.slice("w", b + 1, F.col("n") - b)),
-        "c1": _h(F.slice("w", F.lit(1), q)), "c2": _h(F.slice("w", q + 2, F.col("n") - 1 - q)),
+    halves = near_lines.select("h1", "h2", "o", "n", "flags", F.transform("w", lambda x: _h(x)).alias("hw")).withColumns({
+        "a1": _h(F.slice("hw", F.lit(1), b)), "a2": _h(F.slice("hw", b + 1, F.col("n") - b)),
+        "c1": _h(F.slice("hw", F.lit(1), q)), "c2": _h(F.slice("hw", q + 2, F.col("n") - 1 - q)),
     })
     keyed = halves.select("h1", "h2", "o", F.explode(_variants()).alias("v")).select("h1", "h2", "o", "v.role", "v.key")
     least = keyed.groupBy("key").agg(
