@@ -44,7 +44,7 @@ def out_schema(id_col: str, id_type: T.DataType, fields: list[tuple[str, str]])
 
 def with_row(docs: DataFrame, text_col: str) -> DataFrame:
     """Columns ``row`` (all columns of ``docs``) and ``text``: an operator that takes ``row`` as id returns whole rows without a join."""
-    return docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
 
 
 def map_texts(df: DataFrame, id_col: str, text: Column, make: Callable[[], Callable], fields: list[tuple[str, str]]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from millrace.llm import chat, components, linededup, setjoin, warc
+from millrace.llm import chat, common, components, linededup, setjoin, warc
 from millrace.llm.common import work_dir
 
 DIR = "/root/testdata/sf0.001"
@@ -328,6 +328,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert sizes == sorted(sizes, reverse=True) and sizes[1] < sizes[0]
 
 
+def test_large_lists_are_shuffled(spark, monkeypatch):
+    """Beyond the bound of a broadcast the results are the same."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    ops = (setjoin.similar_groups, lambda d: linededup.dedup_lines(d).select("doc_id", "text", "n_removed"))
+    small = [sorted(map(tuple, op(docs).collect())) for op in ops]
+    monkeypatch.setattr(common, "BROADCAST_VALUES", -1)
+    assert [sorted(map(tuple, op(docs).collect())) for op in ops] == small
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert 0 < out.count() <= 200 and corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
