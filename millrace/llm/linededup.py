@@ -119,7 +119,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "a1": _h(F.slice("hw", F.lit(1), b)), "a2": _h(F.slice("hw", b + 1, F.col("n") - b)),
         "c1": _h(F.slice("hw", F.lit(1), q)), "c2": _h(F.slice("hw", q + 2, F.col("n") - 1 - q)),
     })
-    keyed = halves.select("h1", "h2", "o", F.explode(_variants()).alias("v")).select("h1", "h2", "o", "v.role", "v.key")
+    keyed = written(halves.select("h1", "h2", "o", F.explode(_variants()).alias("v")).select("h1", "h2", "o", "v.role", "v.key"), f"{folder}/keyed")
     least = keyed.groupBy("key").agg(
         F.min(F.when(F.col("role") != 1, F.col("o"))).alias("whole"), F.min(F.when(F.col("role") == 1, F.col("o"))).alias("cut"),
         F.min("h1").alias("a"), F.max("h1").alias("b"),
