@@ -11,12 +11,11 @@ from os.path import commonprefix
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import KEPT, make_room, map_texts
 
 #: Bounds of the memory of one compiled transducer; a table that outgrows its bound is emptied and filled anew.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 400_000, 600_000, 600_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 300_000, 400_000, 300_000
 
 _START = -1
 
@@ -38,22 +37,26 @@ class Transducer:
     input first needs them and kept.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], tables: float = 1.0):
         self.ranks = ranks
+        self.max_states, self.max_pairs = int(MAX_STATES * tables), int(MAX_PAIRS * tables)
         self.words = {v: k for k, v in ranks.items()}
-        self.prefixes: dict[bytes, bool] = {}
+        self.prefixes: dict[bytes, bytes] = {}  # each prefix once, so that states share it
         for token in ranks:
             for n in range(1, len(token)):
-                self.prefixes[token[:n]] = True
+                self.prefixes.setdefault(token[:n], token[:n])
+        self.packed = {t: pack((t,)) for t in self.words}
+        self.kept: dict[tuple[int, ...], tuple[int, ...]] = {}
         self.reach: dict[bytes, bool] = {}
         self.splits: dict[bytes, tuple[bytes, bytes]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.ids: dict[tuple, int] = {}
         self.states: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, int, bytes, tuple[int, ...]]]] = []
+        self.open: dict[tuple[bytes, int], tuple[bytes, int]] = {}  # each hypothesis once
+        self.steps: dict[int, tuple[int, int, bytes, tuple[int, ...]]] = {}  # by state and byte
         self.start = self._state(((b"", _START),))
 
     def _state(self, state: tuple) -> int:
@@ -61,7 +64,6 @@ class Transducer:
         if at is None:
             at = self.ids[state] = len(self.states)
             self.states.append(state)
-            self.steps.append({})
         return at
 
     def merge(self, piece: bytes, least: int = 1) -> list[bytes]:
@@ -100,9 +102,9 @@ class Transducer:
         of rank ``xs`` and y by that of ``ys``; a merge of x with y of lower rank would have come first, and
         of two equal ranks the left one comes first.
         """
-        ok = self.pairs.get((a, b))
+        ok = self.pairs.get(a << 32 | b)
         if ok is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.max_pairs:
                 self.pairs.clear()
             ranks, x, y, xs, ys = self.ranks, self.words[a], self.words[b], 1 << 62, 1 << 62
             while True:
@@ -117,7 +119,7 @@ class Transducer:
                 else:
                     ok = True
                     break
-            self.pairs[a, b] = ok
+            self.pairs[a << 32 | b] = ok
         return ok
 
     def _step(self, at: int, byte: bytes) -> tuple[int, int, bytes, tuple[int, ...]]:
@@ -128,22 +130,27 @@ class Transducer:
             if src < 0 and node in self.ranks and self._reached(node) and (last == _START or self._follows(last, self.ranks[node])):
                 src, token = k, self.ranks[node]
             if node in self.prefixes:
-                live.append((node, last))
+                live.append(self._once((self.prefixes[node], last)))
                 keep.append(k)
-        return self._state((*live, (b"", token))), src, pack((token,)), tuple(keep)
+        live.append(self._once((b"", token)))
+        keep = tuple(keep)
+        return self._state(tuple(live)), src, self.packed[token], self.kept.setdefault(keep, keep)
+
+    def _once(self, hypothesis: tuple[bytes, int]) -> tuple[bytes, int]:
+        return self.open.setdefault(hypothesis, hypothesis)
 
     def encode(self, piece: bytes) -> bytes:
         """The piece's ids, four bytes each."""
         whole = self.ranks.get(piece)
         if whole is not None:  # a piece that is a token stays whole, whether or not merges reach it
-            return pack((whole,))
-        if len(self.states) > MAX_STATES:
+            return self.packed[whole]
+        if len(self.states) > self.max_states:
             self._clear()
         at, out, regs, steps = self.start, [], [b""], self.steps
         for i, byte in enumerate(piece):
-            nxt = steps[at].get(byte)
+            nxt = steps.get(at << 8 | byte)
             if nxt is None:
-                nxt = steps[at][byte] = self._step(at, piece[i : i + 1])
+                nxt = steps[at << 8 | byte] = self._step(at, piece[i : i + 1])
             at, src, token, keep = nxt
             said = regs[src] + token
             if keep:
@@ -162,10 +169,11 @@ class Transducer:
 class Encoder:
     """Whole texts to ids: splits by the pattern, each match on its own."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, tables: float = 1.0):
         import regex
 
-        self.fst = Transducer(ranks)
+        self.fst = Transducer(ranks, tables)
+        self.max_pieces = int(MAX_PIECES * tables)
         self.split = regex.compile(pattern).findall
         fst = self.fst
 
@@ -184,7 +192,7 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         out = b"".join(map(self.pieces.__getitem__, self.split(text)))
-        if len(self.pieces) > MAX_PIECES:
+        if len(self.pieces) > self.max_pieces:
             self.pieces.clear()
         return out
 
@@ -277,16 +285,21 @@ def read_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
+@lru_cache(maxsize=1)
+def encoder(path: str, pattern: str, tables: float = 1.0) -> Encoder:
     with open(path, "rb") as f:
-        return Encoder(read_ranks(f.read()), pattern)
+        return Encoder(read_ranks(f.read()), pattern, tables)
+
 
+#: A compiled encoder stays for the worker's next tasks, until another operator's task needs the memory.
+KEPT["bpe"] = encoder.cache_clear
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False) -> DataFrame:
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False, tables: float = 1.0) -> DataFrame:
     """One row per document: id, ``n_tokens``; ``ids`` (little-endian u32) and ``decoded`` (bytes of the decoded ids) and their SHA-256, as asked for.
 
-    ``path`` names a rank file that every executor has installed. Null and empty texts give no ids. Repeated
+    ``path`` names a rank file that every executor has installed. ``tables`` scales the bounds of the encoder's
+    tables: less memory for more time. Null and empty texts give no ids. Repeated
     rows are encoded each on their own. Other columns are not read.
     """
     fields = [("n_tokens", "long")]
@@ -294,14 +307,15 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     fields += [("ids_sha256", "string"), ("decoded_sha256", "string")] if with_digests else []
 
     def make():
-        enc = encoder(path, pattern)
+        make_room("bpe")
+        enc = encoder(path, pattern, tables)
 
         def step(texts):
             rows = []
             gc.disable()  # its passes over the transducer's tables take longer than the work; nothing here is cyclic
             try:
                 for text in texts:
-                    ids = enc.encode(text or "")
+                    ids = enc.encode((text or b"").decode("utf-8", "replace"))
                     back = enc.decode(ids)
                     row = (len(ids) // 4, *((ids, back) if with_ids else ()))
                     rows.append((*row, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()) if with_digests else row)
@@ -311,13 +325,14 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
         return step
 
-    return map_texts(docs, id_col, F.col(text_col).cast("string"), make, fields)
+    return map_texts(docs, id_col, text_col, make, fields)
 
 
 def decode(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per input row: id and ``text``, decoded in chunks by the incremental UTF-8 automaton."""
 
     def make():
+        make_room("bpe")
         enc = encoder(path, pattern)
 
         def step(blobs):
@@ -329,7 +344,7 @@ def decode(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids
 
         return step
 
-    return map_texts(rows, id_col, F.col(ids_col), make, [("text", "string")])
+    return map_texts(rows, id_col, ids_col, make, [("text", "string")])
 
 
 def op5(spark, sf_dir):

@@ -42,32 +42,71 @@ def out_schema(id_col: str, id_type: T.DataType, fields: list[tuple[str, str]])
     return T.StructType([T.StructField(id_col, id_type), *(T.StructField(n, spark_type(t)) for n, t in fields)])
 
 
-def with_row(docs: DataFrame, text_col: str) -> DataFrame:
-    """Columns ``row`` (all columns of ``docs``) and ``text``: an operator that takes ``row`` as id returns whole rows without a join."""
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+#: What operators keep in a Python worker between tasks: functions that drop it, by operator.
+KEPT: dict[str, Callable[[], None]] = {}
 
 
-def map_texts(df: DataFrame, id_col: str, text: Column, make: Callable[[], Callable], fields: list[tuple[str, str]]) -> DataFrame:
+def make_room(own: str = "") -> None:
+    """Drops what other operators' tasks have left in this worker, and hands freed memory back to the system."""
+    import ctypes
+
+    for name, drop in KEPT.items():
+        if name != own:
+            drop()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+#: Bytes of an Arrow batch that carries whole rows.
+ROW_BATCH_BYTES = 16 << 20
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """Column ``row`` with all columns of ``docs``: an operator that takes ``row`` as id and ``row.text`` as text returns whole rows without a join.
+
+    Lowers the session's Arrow batches to ROW_BATCH_BYTES, for whole rows pass through memory several times.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ROW_BATCH_BYTES)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def id_and_text(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[bytes | None]]]:
+    """The columns to send to Python, the id first, and a function that takes the UTF-8 texts from a batch.
+
+    A text column inside the id column (``id_col.name``) is sent once.
+    """
+    if text_col.startswith(f"{id_col}."):
+        name = text_col[len(id_col) + 1 :]
+        return df.select(F.col(id_col).alias("__id")), lambda batch: batch.column(0).field(name).cast(pa.binary()).to_pylist()
+    return df.select(F.col(id_col).alias("__id"), utf8(text_col).alias("__text")), lambda batch: batch.column(1).to_pylist()
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most SLICE_ROWS rows, so that few texts are Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Callable], fields: list[tuple[str, str]]) -> DataFrame:
     """One output row for each input row: the id column and ``fields``.
 
-    ``make`` runs once in each task and returns a function from a list of texts to a list of tuples, one for
-    each text, in the order of ``fields``. Only the id and the text reach Python.
+    ``make`` runs once in each task and returns a function from a list of texts (UTF-8 or None) to a list of tuples,
+    one for each text, in the order of ``fields``. Only the id and the text reach Python.
     """
-    src = df.select(F.col(id_col).alias("__id"), text.alias("__text"))
+    src, texts_of = id_and_text(df, id_col, text_col)
     types = [arrow_type(t) for _, t in fields]
     names = [id_col, *(n for n, _ in fields)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                step = step or make()
-                rows = step(part.column(1).to_pylist())
-                cols = list(zip(*rows, strict=True)) if rows else [()] * len(types)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), *(pa.array(c, type=t) for c, t in zip(cols, types, strict=True))], names=names
-                )
+        for part in slices(batches):
+            step = step or make()
+            cols = zip(*step(texts_of(part)), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, type=t) for c, t in zip(cols, types, strict=True))], names=names)
 
     return src.mapInArrow(run, out_schema(id_col, src.schema["__id"].dataType, fields))
 
@@ -107,5 +146,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def least_hash(df: DataFrame, id_col: str, n: int, salt: str = "") -> DataFrame:
+    """The ``n`` rows of least hash of their id, ties by id: a sample that depends on the ids alone.
+
+    Rows are first cut by a hash bound that leaves about 2n of them, so that what is sorted does not grow with
+    the number of partitions; the bound leaves fewer than n rows only where few ids repeat many rows.
+    """
+    h, total = F.xxhash64(F.concat(F.lit(salt), F.col(id_col).cast("string"))), df.count()
+    if total > 4 * n:
+        df = df.where(h < F.lit(-(1 << 63) + (1 << 64) * 2 * n // total))
+    return df.orderBy(h, id_col).limit(n)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_type, out_schema, table, utf8
+from .common import arrow_type, id_and_text, make_room, out_schema, table, utf8
 from .licenses import fold
 
 #: Words of a window; bytes of benchmark text in one block of queries; documents and words in one shard.
@@ -234,7 +234,8 @@ def find_contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
     item_text: str = "text", window: int = WINDOW, with_spans: bool = True,
 ) -> DataFrame:
-    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated and, if asked for, ``spans`` and ``cut_text``.
+    """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated and, if asked for, ``spans`` and ``cut_text``
+    (the text without the spans; null where there are none).
 
     The benchmark is read in blocks of at most BLOCK_BYTES of text and each block broadcast; every shard is
     indexed and searched for one block at a time. Null and empty texts have no words and are clean; null items
@@ -249,7 +250,7 @@ def find_contamination(
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == k).collect()
         blocks.append(spark.sparkContext.broadcast(Phrases([(r["i"], bytes(r["t"])) for r in rows], window)))
 
-    src = docs.select(F.col(id_col).alias("__id"), utf8(text_col).alias("__t"))
+    src, texts_of = id_and_text(docs, id_col, text_col)
     fields = [("n_words", "long"), ("n_hit", "long"), ("n_items", "long"), ("items_sha256", "string"), ("contaminated", "boolean")]
     fields += [("spans", "array<long>"), ("cut_text", "binary")] if with_spans else []
     types, names = [arrow_type(t) for _, t in fields], [id_col, *(n for n, _ in fields)]
@@ -258,18 +259,19 @@ def find_contamination(
         rows = []
         for text, (n, hit, of, spans) in zip(texts, judge(texts, blocks), strict=True):
             row = (n, hit, len(of), hashlib.sha256(",".join(of).encode()).hexdigest(), hit > 0 and 20 * hit >= n)
-            rows.append((*row, spans, cut(text, spans) if spans else text) if with_spans else row)
+            rows.append((*row, spans, cut(text, spans) if spans else None) if with_spans else row)
         cols = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(c, type=t) for c, t in zip(cols, types, strict=True))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room()
         ids, texts, words = [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids.append(part.column(0))
-                texts += part.column(1).to_pylist()
-                words += part.column(1).nbytes // 6
+                texts += texts_of(part)
+                words += sum(len(t or b"") for t in texts[-part.num_rows :]) // 6
                 if len(texts) >= SHARD_ROWS or words >= SHARD_WORDS:
                     yield rows_of(ids, texts)
                     ids, texts, words = [], [], 0

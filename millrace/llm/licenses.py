@@ -7,7 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
-from .common import map_texts, table, utf8
+from .common import make_room, map_texts, table
 
 #: Fixed values of the base rule: phrase and label.
 PHRASES = (
@@ -198,11 +198,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     phrases = tuple((b" " + p.encode() + b" ", label) for p, label in PHRASES)
 
     def make():
+        make_room()
         automata = compiled(chosen)
         return lambda texts: [scan(t or b"", phrases, automata) for t in texts]
 
     fields = [("n_words", "long"), ("n_base", "long"), ("first_word", "long"), ("last_word", "long"), ("base_labels", "string"), ("labels", "string"), ("score", "double"), ("matches", "string")]
-    return map_texts(docs, id_col, utf8(text_col), make, fields)
+    return map_texts(docs, id_col, text_col, make, fields)
 
 
 def op6(spark, sf_dir):

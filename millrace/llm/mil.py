@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, utf8
+from .common import least_hash, make_room, map_texts, table
 
 #: Words of a passage; buckets of hashed words; size of a passage's representation and of the attention.
 PASSAGE, BUCKETS, HIDDEN, GATE = 64, 128, 24, 12
@@ -141,14 +141,16 @@ class AttentionMil:
 def fit_mil(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = 4000, max_passages: int = 24) -> AttentionMil:
     """Trains on ``sample`` labelled texts, those of least hash of their id, with ``max_passages`` evenly spaced passages of each.
 
-    Both bounds hold for training only. Null labels are left out; of several labels of an id the least counts.
+    Both bounds hold for training only. Null labels are left out; of several labels
+    of an id the least counts, of several texts of an id the first in order of bytes.
     """
     few = labelled.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.min(label).cast("int").alias("__y"))
-    few = few.orderBy(F.xxhash64(F.col("__i").cast("string")), "__i").limit(sample)
+    few = least_hash(few, "__i", sample)
     rows = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x")).join(F.broadcast(few), "__i")
-    rows = rows.select(F.struct("__i", "__y").alias("k"), "__x")
+    rows = rows.groupBy("__i", "__y").agg(F.min("__x").alias("__x")).select(F.struct("__i", "__y").alias("k"), "__x")
 
     def make():
+        make_room()
         words = Words()
 
         def step(texts):
@@ -161,7 +163,7 @@ def fit_mil(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_c
 
         return step
 
-    got = map_texts(rows, "k", utf8("__x"), make, [("v", "binary")]).collect()
+    got = map_texts(rows, "k", "__x", make, [("v", "binary")]).collect()
     got.sort(key=lambda r: (r["k"]["__i"], bytes(r["v"])))
     return AttentionMil.fit([np.frombuffer(r["v"], "<f2").reshape(-1, N_INPUTS).astype(np.float32) for r in got], np.array([r["k"]["__y"] for r in got]))
 
@@ -174,6 +176,7 @@ def score_quality(docs: DataFrame, model: AttentionMil, id_col: str = "doc_id",
     """
 
     def make():
+        make_room()
         words = Words()
 
         def step(texts):
@@ -182,7 +185,7 @@ def score_quality(docs: DataFrame, model: AttentionMil, id_col: str = "doc_id",
 
         return step
 
-    return map_texts(docs, id_col, utf8(text_col), make, [("score", "double"), ("predicted", "int")])
+    return map_texts(docs, id_col, text_col, make, [("score", "double"), ("predicted", "int")])
 
 
 def held_out(id_col: str, mod: int, rest: int):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, utf8
+from .common import least_hash, make_room, map_texts, table
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -190,6 +190,7 @@ def fit_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
     """
 
     def make():
+        make_room()
         def step(texts):
             out = []
             for text in texts:
@@ -200,8 +201,8 @@ def fit_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
 
         return step
 
-    few = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample)
-    rows = map_texts(few, id_col, utf8(text_col), make, [("v", "binary")]).collect()
+    few = least_hash(docs.select(id_col, text_col), id_col, sample).where(F.col(text_col).isNotNull())
+    rows = map_texts(few, id_col, text_col, make, [("v", "binary")]).collect()
     values = [np.frombuffer(r["v"], "<f8").reshape(-1, len(BOUNDS)) for r in sorted(rows, key=lambda r: (str(r[id_col]), bytes(r["v"])))]
     return LineCrf.fit([(levels(v), seeds(v)) for v in values])
 
@@ -215,6 +216,7 @@ def quality_rules(docs: DataFrame, crf: LineCrf, id_col: str = "doc_id", text_co
     """
 
     def make():
+        make_room()
         def step(texts):
             rows = []
             for text in texts:
@@ -231,7 +233,7 @@ def quality_rules(docs: DataFrame, crf: LineCrf, id_col: str = "doc_id", text_co
         return step
 
     fields = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("content_share", "double")]
-    return map_texts(docs, id_col, utf8(text_col), make, fields)
+    return map_texts(docs, id_col, text_col, make, fields)
 
 
 def op1(spark, sf_dir):

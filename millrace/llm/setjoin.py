@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release, small, table, utf8, work_dir, written
+from .common import make_room, partitions, release, slices, small, table, utf8, work_dir, written
 from .components import components
 
 #: Words of a shingle; similarity as a fraction; most sets one block of the local join holds; 64-bit words of a sketch.
 SHINGLE, NUM, DEN, BLOCK, SKETCH = 5, 3, 4, 1024, 4
 #: Word hashes one task remembers.
-MAX_WORDS = 300_000
+MAX_WORDS = 150_000
 
 _U = np.uint64
 _MULT = [_U(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) for k in range(SHINGLE)]
@@ -203,8 +203,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     src = docs.select(F.col(id_col).cast("long").alias("__id"), utf8(text_col).alias("__t"))
 
     def run(batches):
+        make_room()
         shingle = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
             keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -218,13 +219,14 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _partnered(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
     """Rows (k1): the sets whose hash-ordered prefix shares so many elements with other sets' that they may link.
 
-    Equal sets of one batch count once before the shuffle and once after it. Counts go from the elements' tasks
+    Equal sets of one slice of a batch count once before the shuffle and once after it. Counts go from the elements' tasks
     to the sets' as packed columns, one row for each pair of tasks.
     """
 
     def emit(batches):
+        make_room()
         shingle = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             sets = {}
             for t in batch.column(0).to_pylist():
                 s = shingle(t)
@@ -457,8 +459,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release(spark)
 
     def sets_of(batches):
+        make_room()
         shingle = Shingler()
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for r, t, k1, k2 in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 s = shingle(t)

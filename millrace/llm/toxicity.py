@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table, utf8
+from .common import least_hash, make_room, map_texts, table
 from .licenses import fold
 from .mil import _sigmoid, held_out
 
@@ -102,20 +102,25 @@ def fit_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", t
     """Trains on ``positives`` texts confirmed by ``labelled`` and ``unlabelled`` texts drawn from all, each those of least hash of their id.
 
     The class prior is the share of confirmed texts among all labelled rows. Null labels are left out; of several
-    labels of an id the greatest counts. Labels of the unlabelled texts are never read.
+    labels of an id the greatest counts, of several texts of an id the first in order of bytes. Labels of the unlabelled texts are never read.
     """
     one = labelled.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.max(label).cast("int").alias("__y"))
     n, n1 = one.agg(F.count("*"), F.sum("__y")).first()
     prior = min(0.9, max(1e-3, (n1 or 0) / max(1, n)))
-    key = F.xxhash64(F.col("__i").cast("string"))
     src = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x"))
-    known = src.join(F.broadcast(one.where("__y = 1").orderBy(key, "__i").limit(positives)), "__i").select(F.lit(1).alias("k"), "__x")
-    drawn = src.join(F.broadcast(src.where("__x IS NOT NULL AND __i IS NOT NULL").select("__i").orderBy(F.xxhash64(F.concat(F.lit("u"), F.col("__i").cast("string"))), "__i").limit(unlabelled).distinct()), "__i")
+
+    def texts_of(ids: DataFrame, kind: int) -> DataFrame:
+        rows = src.join(F.broadcast(ids.distinct()), "__i").groupBy("__i").agg(F.min("__x").alias("__x"))
+        return rows.select(F.lit(kind).alias("k"), "__x")
+
+    known = texts_of(least_hash(one.where("__y = 1").select("__i"), "__i", positives), 1)
+    drawn = texts_of(least_hash(src.select("__i"), "__i", unlabelled, "u"), 0)
 
     def make():
+        make_room()
         return lambda texts: [(b" ".join(all_features(fold(t or b"").split())),) for t in texts]
 
-    got = map_texts(known.unionByName(drawn.select(F.lit(0).alias("k"), "__x")), "k", utf8("__x"), make, [("w", "binary")]).collect()
+    got = map_texts(known.unionByName(drawn), "k", "__x", make, [("w", "binary")]).collect()
     sides = [sorted(bytes(r["w"]) for r in got if r["k"] == k) for k in (1, 0)]
     return PuModel.fit([x.split(b" ") for x in sides[0]], [x.split(b" ") for x in sides[1]], prior)
 
@@ -127,9 +132,10 @@ def score_toxicity(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text
     """
 
     def make():
+        make_room()
         return lambda texts: [(float(s), int(s >= threshold)) for s in model.score(texts)]
 
-    return map_texts(docs, id_col, utf8(text_col), make, [("score", "double"), ("predicted", "int")])
+    return map_texts(docs, id_col, text_col, make, [("score", "double"), ("predicted", "int")])
 
 
 def op8(spark, sf_dir):

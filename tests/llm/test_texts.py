@@ -249,8 +249,8 @@ def ids(blob):
 
 def test_bpe_against_tiktoken(tokenizer, texts, monkeypatch):
     enc, plain, _ = tokenizer
-    monkeypatch.setattr(bpe, "MAX_STATES", 2000)
-    monkeypatch.setattr(bpe, "MAX_PIECES", 500)
+    monkeypatch.setattr(enc.fst, "max_states", 2000)
+    monkeypatch.setattr(enc, "max_pieces", 500)
     r = random.Random(6)
     chars = [chr(c) for c in [*range(32, 127), 9, 10, 13, 0xE9, 0x4E2D, 0x1F600, 0x301, 0xA0, 0x2028]]
     cases = [t for _, t in texts] + ["".join(r.choice(chars) for _ in range(r.randrange(40))) for _ in range(1500)]
