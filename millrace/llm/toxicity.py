@@ -50,7 +50,7 @@ class PuModel:
         return _sigmoid(out)
 
     @classmethod
-    def fit(cls, positive: list[list[bytes]], unlabelled: list[list[bytes]], prior: float, max_words: int = 4096, rounds: int = 300, rate: float = 0.05, l2: float = 2e-3) -> PuModel:
+    def fit(cls, positive: list[list[bytes]], unlabelled: list[list[bytes]], prior: float, max_words: int = 4096, rounds: int = 800, rate: float = 0.05, l2: float = 5e-4) -> PuModel:
         """Minimises  prior R+(p) + max(0, R-(u) - prior R-(p))  with the logistic loss, by Adam on the whole sample.
 
         Where the second term is negative its gradient is turned round, as the non-negative estimator asks. Words
