@@ -21,10 +21,10 @@ def _h(*cols: Column | str) -> Column:
     return F.xxhash64(*cols)
 
 
-def _lines(src: DataFrame, min_words: int) -> DataFrame:
-    """One row per line that is long enough: place (d, th, p), identity (h1, h2) and the keys of its halves."""
+def _lines(src: DataFrame, least: int) -> DataFrame:
+    """One row per line of ``least`` words or more: place (d, th, p), identity (h1, h2) and the keys of its halves."""
     rows = src.select("d", "th", F.posexplode(F.split("t", "\n")).alias("p", "l")).withColumn("w", words_of(F.col("l"))).drop("l")
-    rows = rows.withColumn("n", F.size("w")).where(F.col("n") >= min_words)
+    rows = rows.withColumn("n", F.size("w")).where((F.col("n") >= least) & (F.get("w", F.lit(0)) != ""))
     b, q = F.expr("n div 2").cast("int"), F.expr("(n - 1) div 2").cast("int")
     half = lambda kind, base, start, size: _h(F.lit(kind), base, F.slice("w", start, size))
     return rows.select(
@@ -70,13 +70,13 @@ def within_one_word(x: Column, y: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, folder: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 5, folder: str | None = None, exact_words: int | None = None) -> DataFrame:
     """The documents with repeated lines taken out of ``text_col``, and columns ``n_lines`` and ``n_removed``.
 
     Lines end at a newline; their words are cut at ASCII white space. A line of ``min_words`` words or more goes if
     an earlier one, by id and place, has the same words or words at an edit distance of one (a word put in, left
-    out or replaced); the earlier line counts whether or not it goes itself. Shorter lines stay. Other columns are
-    kept; columns named n_lines and n_removed are replaced. A null text stays null with no lines; an empty one has
+    out or replaced); the earlier line counts whether or not it goes itself. A shorter line of ``exact_words`` words
+    or more (by default ``min_words``) goes if an earlier one has the same words; others stay. Other columns are kept; columns named n_lines and n_removed are replaced. A null text stays null with no lines; an empty one has
     one empty line. Null ids come first. Rows that repeat an id and a text are one document and lose the same
     lines. A document may end with an empty text.
 
@@ -86,17 +86,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
+    least = min_words if exact_words is None else exact_words
+    if not 1 <= least <= min_words:
+        raise ValueError("exact_words must be from 1 to min_words")
     spark = docs.sparkSession
     folder = folder or work_dir(spark)
     docs = docs.drop("n_lines", "n_removed")
     src = docs.select(F.col(id_col).alias("d"), _h(text_col).alias("th"), F.col(text_col).alias("t"))
     place = F.struct("d", "th", "p")
 
-    lines = written(_lines(src, min_words), f"{folder}/lines")
+    lines = written(_lines(src, least), f"{folder}/lines")
     first = written(
         lines.groupBy("h1", "h2").agg(F.min(place).alias("o"), F.first("n").alias("n"), *(F.first(k).alias(k) for k in ("k1", "k2", "k4", "k8"))), f"{folder}/first"
     )
-    keys = first.select("h1", "h2", F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.col(f"k{f}").alias("key")) for f in (HEAD, TAIL, HEAD_SHORT, TAIL_SHORT)))).alias("x"))
+    keys = first.where(F.col("n") >= min_words).select("h1", "h2", F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.col(f"k{f}").alias("key")) for f in (HEAD, TAIL, HEAD_SHORT, TAIL_SHORT)))).alias("x"))
     keys = keys.select("h1", "h2", "x.flag", "x.key")
     long = F.col("flag") >= HEAD_SHORT  # of a line that is one word longer than the key says
     shared = keys.groupBy("key").agg(

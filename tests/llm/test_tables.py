@@ -159,6 +159,24 @@ def test_lines_random(spark, seed):
     assert all(x.n_lines - x.n_removed == len(x.text.split("\n")) or x.text == "" for x in got)
 
 
+def plain_short(rows):
+    """plain_lines where a line of any length with a word also goes if an earlier one has its words."""
+    lines = [(i, p, cut(x)) for i, t in sorted(rows) for p, x in enumerate(t.split("\n"))]
+    gone = {(i, p) for k, (i, p, w) in enumerate(lines) if any(v == w != [] or len(v) >= 5 <= len(w) and near(v, w) for _, _, v in lines[:k])}
+    return {i: "\n".join(x for p, x in enumerate(t.split("\n")) if (i, p) not in gone) for i, t in rows}
+
+
+def test_short_lines_by_identity(spark):
+    r = random.Random(8)
+    rows = [(i, "\n".join(" ".join(r.choice("abc") for _ in range(r.randrange(8))) for _ in range(r.randrange(1, 6)))) for i in range(60)]
+    rows += [(100, "All rights reserved.\n\n \nOne"), (101, " All  rights reserved.\n\n \nOne two"), (102, "One")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {x.doc_id: x.text for x in linededup.dedup_lines(df, exact_words=1).collect()} == plain_short(rows)
+    for bad in (0, 6):
+        with pytest.raises(ValueError):
+            linededup.dedup_lines(df, exact_words=bad)
+
+
 def test_lines_odd_rows(spark):
     a, b = "one two three four five", "one two three four six"
     rows = [(3, f"{a}\nshort\n{a}"), (1, f"{b}\nshort"), (2, None), (4, ""), (5, "\n\n"), (None, f"{a} x y z\nnew words in this line"), (6, f"new words in this line\n{'w ' * 3000}"), (6, f"new words in this line\n{'w ' * 3000}"), (7, "w " * 2999)]
@@ -340,3 +358,12 @@ def test_large_lists_are_shuffled(spark, monkeypatch):
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, DIR)
     assert 0 < out.count() <= 200 and corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_drops_copies_with_short_lines(spark, tmp_path, monkeypatch):
+    a, b = "one two three four five six\nAll rights reserved.", "seven eight nine ten eleven twelve\nOne"
+    rows = [(7, a), (3, a), (9, a), (5, b), (None, b), (8, ""), (6, ""), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] == "line dedup"])
+    got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted([(3, a), (None, b), (8, ""), (6, ""), (2, None)], key=str)
