@@ -16,6 +16,8 @@ from .common import KEPT, make_room, map_texts
 
 #: Bounds of the memory of one compiled transducer; a table that outgrows its bound is emptied and filled anew.
 MAX_STATES, MAX_PIECES, MAX_PAIRS = 300_000, 400_000, 300_000
+#: Ids that the streaming decoder is fed at once.
+CHUNK = 4096
 
 _START = -1
 
@@ -188,6 +190,7 @@ class Encoder:
         self.words = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
             self.words[v] = k
+        self.stream = StreamDecoder(self.words)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -197,7 +200,10 @@ class Encoder:
         return out
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.words.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
+        """The UTF-8 of the text that the streaming decoder makes of the ids, fed in chunks."""
+        all_ids, dec = np.frombuffer(ids, dtype="<u4"), self.stream
+        out = [dec.feed_bytes(all_ids[i : i + CHUNK]) for i in range(0, len(all_ids), CHUNK)]
+        return b"".join([*out, dec.end().encode()])
 
 
 def utf8_table() -> tuple[list[list[int]], int]:
@@ -231,14 +237,16 @@ def utf8_table() -> tuple[list[list[int]], int]:
 class StreamDecoder:
     """Ids to text, piece by piece: holds back the bytes of an unfinished character.
 
-    The UTF-8 automaton's state lives across calls; a token's effect on a state is remembered. Bytes that
-    can't be part of a character become U+FFFD as in Python's replacing decoder.
+    The UTF-8 automaton's state lives across calls; a token's effect on a state is remembered. From the start state,
+    runs of tokens that lead back to it are written at once. Bytes that can't be part of a character become U+FFFD
+    as in Python's replacing decoder.
     """
 
     def __init__(self, words: list[bytes]):
         self.words, (self.table, self.bad) = words, utf8_table()
         self.state, self.held = 0, b""
         self.seen: dict[tuple[int, int], tuple[int, int]] = {}
+        self.closed = np.full(len(words), -1, np.int8)  # whether a token leads from the start state back to it; -1: not yet known
 
     def _walk(self, state: int, token: int) -> tuple[int, int]:
         """The state after the token's bytes, and how many of its bytes are ended characters."""
@@ -254,27 +262,46 @@ class StreamDecoder:
             got = self.seen[state, token] = (s, whole)
         return got
 
+    def _one(self, token: int) -> bytes:
+        state, whole = self._walk(self.state, token)
+        word = self.words[token]
+        if state == self.bad:
+            import codecs
+
+            d = codecs.getincrementaldecoder("utf-8")("replace")
+            out = d.decode(self.held + word).encode()
+            self.held, _ = d.getstate()
+            self.state = 0
+            for b in self.held:
+                self.state = self.table[self.state][b]
+            return out
+        out = b""
+        if whole:
+            out, self.held = self.held + word[:whole], b""
+        self.held += word[whole:]
+        self.state = state
+        return out
+
+    def feed_bytes(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 of the characters that end within these ids."""
+        closed = self.closed[ids]
+        if (closed < 0).any():
+            for t in np.unique(ids[closed < 0]).tolist():
+                self.closed[t] = self._walk(0, t)[0] == 0
+            closed = self.closed[ids]
+        tokens, out, i = ids.tolist(), [], 0
+        for j in [*np.flatnonzero(closed == 0).tolist(), len(tokens)]:
+            while i < j and self.state:
+                out.append(self._one(tokens[i]))
+                i += 1
+            out += map(self.words.__getitem__, tokens[i:j])
+            if j < len(tokens):
+                out.append(self._one(tokens[j]))
+            i = j + 1
+        return b"".join(out)
+
     def feed(self, ids: list[int]) -> str:
-        out = []
-        for t in ids:
-            state, whole = self._walk(self.state, t)
-            word = self.words[t]
-            if state == self.bad:
-                import codecs
-
-                d = codecs.getincrementaldecoder("utf-8")("replace")
-                out.append(d.decode(self.held + word))
-                self.held, _ = d.getstate()
-                self.state = 0
-                for b in self.held:
-                    self.state = self.table[self.state][b]
-            else:
-                if whole:
-                    out.append((self.held + word[:whole]).decode())
-                    self.held = b""
-                self.held += word[whole:]
-                self.state = state
-        return "".join(out)
+        return self.feed_bytes(np.asarray(ids, np.int64)).decode()
 
     def end(self) -> str:
         out, self.held, self.state = self.held.decode("utf-8", "replace"), b"", 0
@@ -296,7 +323,7 @@ KEPT["bpe"] = encoder.cache_clear
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False, tables: float = 1.0) -> DataFrame:
-    """One row per document: id, ``n_tokens``; ``ids`` (little-endian u32) and ``decoded`` (bytes of the decoded ids) and their SHA-256, as asked for.
+    """One row per document: id, ``n_tokens``; ``ids`` (little-endian u32) and ``decoded`` (UTF-8 of the text the streaming decoder makes of the ids) and their SHA-256, as asked for.
 
     ``path`` names a rank file that every executor has installed. ``tables`` scales the bounds of the encoder's
     tables: less memory for more time. Null and empty texts give no ids. Repeated
@@ -339,7 +366,7 @@ def decode(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids
             rows, dec = [], StreamDecoder(enc.words)
             for blob in blobs:
                 ids = np.frombuffer(blob or b"", dtype="<u4")
-                rows.append(("".join([*(dec.feed(ids[i : i + 4096].tolist()) for i in range(0, len(ids), 4096)), dec.end()]),))
+                rows.append(("".join([*(dec.feed(ids[i : i + CHUNK].tolist()) for i in range(0, len(ids), CHUNK)), dec.end()]),))
             return rows
 
         return step

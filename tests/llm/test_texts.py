@@ -271,6 +271,17 @@ def test_streaming_decode(tokenizer):
         assert got == b"".join(enc.words[t] for t in some).decode("utf-8", "replace")
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_encoder_decodes_by_stream(tokenizer, monkeypatch, chunk):
+    enc, _, _ = tokenizer
+    monkeypatch.setattr(bpe, "CHUNK", chunk)
+    r = random.Random(9)
+    part = [i for i, w in enumerate(enc.words) if w.decode("utf-8", "ignore").encode() != w]  # tokens that cut a character
+    for _ in range(400):
+        some = [r.choice(part) if r.random() < 0.4 else r.randrange(len(enc.words)) for _ in range(r.randrange(20))]
+        assert enc.decode(np.array(some, "<u4").tobytes()) == b"".join(enc.words[t] for t in some).decode("utf-8", "replace").encode()
+
+
 def test_bpe_operator(tokenizer, odd):
     _, plain, how = tokenizer
     rows = bpe.encode(odd, *how, with_digests=True).collect()
