@@ -362,3 +362,13 @@ def test_license_templates():
     assert scan("Licensed under CC BY-NC 4.0") == "cc-by,cc-by-nc-4.0" and scan("Licensed under the Apache License, Version 3.0") == "apache"
     full = re.sub(r"<<opt>>|<</opt>>", "", licenses.TEMPLATES["mit-text"])
     assert scan(full.replace("<<var:8>>", "the authors or copyright holders")) == "mit-text" and scan(full.replace("<<var:8>>", "x").replace("merchantability", "merchants")) == ""
+
+
+@pytest.mark.parametrize("label, last", [("isc-text", "the use or performance of this software"), ("bsd-text", "of the possibility of such damage")])
+def test_license_texts_are_whole(label, last):
+    automata = licenses.compiled(tuple(licenses.TEMPLATES.items()))
+    full = re.sub(r"<<opt>>|<</opt>>|<<alt:|\|[^>|]*>>", "", licenses.TEMPLATES[label])
+    full = re.sub(r"<<var:\d+>>", "the copyright holder", full)
+    scan = lambda t: licenses.scan(t.encode(), (), automata)[5]
+    assert full.endswith(last) and scan(full) == label
+    assert scan(full.removesuffix(last)) == "" and scan(full.replace("be liable for any", "be liable for some")) == ""
