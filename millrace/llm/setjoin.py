@@ -447,7 +447,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with fewer words the whole sequence; two sets link at a Jaccard similarity of 0.75 or more. Null and empty
     texts have no set and link to nothing. Ids are integers; rows that repeat an id are one document with several
     sets; rows without an id have no component unless their set has an id elsewhere. Equal sets are one class, of
-    which the smallest id stands for all. Shingles are compared by 64-bit hash.
+    which the smallest id stands for all. Shingles are compared by 64-bit hash. Sets go through the join by their key
+    (column r), not by an id; sets of one document are linked at the end.
     """
     spark = docs.sparkSession
     folder, parts = folder or work_dir(spark), partitions(spark)
@@ -463,14 +464,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         shingle = Shingler()
         for batch in slices(batches):
             out = []
-            for r, t, k1, k2 in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for t, k1, k2 in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 s = shingle(t)
                 if set_key(s) == (k1, k2):
-                    out.append((r, s.tobytes()))
+                    out.append((k1, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["r", "s"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("r"), utf8(text_col).alias("t")).join(small(alive, 3), "r")
-    sets = written(texts.select("r", "t", "k1", "k2").mapInArrow(sets_of, "r bigint, s binary"), f"{folder}/sets")
+    sets = written(texts.select("t", "k1", "k2").mapInArrow(sets_of, "r bigint, s binary"), f"{folder}/sets")
     release(spark)
 
     near = components(_bucket_links(sets, parts), f"{folder}/near")
@@ -481,9 +482,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = _verified(pairs, sets)
     own = named.select("r", "c").distinct()
     ends = more.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select("ca", "cb")
+    ids = rows.where("n > 0 AND __id IS NOT NULL").groupBy("__id").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a != b")
+    ids = rows.where("n > 0").join(written(ids.select("__id", "a"), f"{folder}/several"), "__id").where("a != k1").select("a", F.col("k1").alias("b"))
+    same = written(ids.distinct(), f"{folder}/same")  # sets of one document
+    own = written(own.unionByName(same.select(F.explode(F.array("a", "b")).alias("r")).distinct().join(own, "r", "left_anti").withColumn("c", F.col("r"))), f"{folder}/own")
+    ends = ends.unionByName(same.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select("ca", "cb"))
     far = components(ends, f"{folder}/far", "ca", "cb")
-    final = own.join(far, own.c == far.node, "left").select(F.col("r"), F.coalesce("component", "c").alias("component"))
-    final = classes.join(final.groupBy("r").agg(F.min("component").alias("component")), "r", "left").select("k1", "k2", F.coalesce("component", "r").alias("component"))
+    final = own.join(far, own.c == far.node, "left").select(F.col("r").alias("k1"), F.coalesce("component", "c").alias("g"))
+    final = written(classes.join(final, "k1").select("k1", "g", F.col("r").alias("least")), f"{folder}/final")
+    least = final.groupBy("g").agg(F.min("least").alias("component"))
+    final = classes.join(final.join(least, "g").select("k1", "component").distinct(), "k1", "left").select("k1", "k2", F.coalesce("component", "r").alias("component"))
     return (
         rows.join(final, ["k1", "k2"], "left")
         .select(F.col("__id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id")).alias("component_id"))

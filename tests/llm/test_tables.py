@@ -107,6 +107,24 @@ def test_groups_odd_rows(spark):
     assert setjoin.similar_groups(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_groups_of_ids_with_several_sets(spark, seed):
+    r = random.Random(seed)
+    texts = []
+    for _ in range(6):
+        texts += variants(r, [f"{r.choice('abc')}{r.randrange(300)}" for _ in range(r.choice([8, 20, 60]))], 8, 4)
+    rows = [(r.randrange(60), t) for t in texts] + [(70, "p q r s t u"), (75, "p q r s t u"), (75, "v w x y z"), (77, "v w x y z")]
+    r.shuffle(rows)
+    sets, up = [(i, plain_set(t)) for i, t in rows], {i: i for i, _ in rows}
+    find = lambda x: x if up[x] == x else find(up[x])
+    for (a, x), (b, y) in itertools.combinations(sets, 2):
+        if 100 * len(x & y) >= 75 * len(x | y):
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    got = setjoin.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(s), find(i)) for i, s in sets) and find(77) == 70
+
+
 def test_components(spark, tmp_path):
     r = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 100 + i) for i in range(1, 60)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(7, 7), (100, 101)]
