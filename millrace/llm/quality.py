@@ -113,19 +113,21 @@ class LineCrf:
         texts = [x for x in texts if len(x[0])]
         if not texts:
             return cls(w, t)
-        n, longest = len(texts), max(len(x[0]) for x in texts)
-        lv, ok, on = np.zeros((n, longest, len(BOUNDS)), int), np.ones((n, longest, 2), bool), np.zeros((n, longest), bool)
-        for i, (a, s) in enumerate(texts):
-            lv[i, : len(a)], ok[i, : len(a)], on[i, : len(a)] = a, s, True
-        total, mw, mt, vw, vt = on.sum(), 0 * w, 0 * t, 0 * w, 0 * t
+        sized: dict[int, list] = {}  # texts of like length, so that few places are padding
+        for x in texts:
+            sized.setdefault(len(x[0]).bit_length(), []).append(x)
+        groups = [cls._padded(some) for some in sized.values()]
+        total, mw, mt, vw, vt = sum(len(x[0]) for x in texts), 0 * w, 0 * t, 0 * w, 0 * t
         for step in range(1, rounds + 1):
-            emit = w[lv].sum(2)
-            (pa, ea), (pf, ef) = cls._marginals(np.where(ok, emit, -1e9), t, on), cls._marginals(emit, t, on)
-            diff = (pa - pf)[on]
-            gw = np.zeros_like(w)
-            for k in range(len(BOUNDS)):
-                np.add.at(gw, lv[:, :, k][on], diff)
-            gw, gt = gw / total - l2 * w, (ea - ef) / total - l2 * t
+            gw, gt = np.zeros_like(w), np.zeros_like(t)
+            for lv, ok, on in groups:
+                emit = w[lv].sum(2)
+                (pa, ea), (pf, ef) = cls._marginals(np.where(ok, emit, -1e9), t, on), cls._marginals(emit, t, on)
+                diff = (pa - pf)[on]
+                for k in range(len(BOUNDS)):
+                    np.add.at(gw, lv[:, :, k][on], diff)
+                gt += ea - ef
+            gw, gt = gw / total - l2 * w, gt / total - l2 * t
             mw, mt = 0.9 * mw + 0.1 * gw, 0.9 * mt + 0.1 * gt
             vw, vt = 0.99 * vw + 0.01 * gw**2, 0.99 * vt + 0.01 * gt**2
             a, b = 1 - 0.9**step, 1 - 0.99**step
@@ -133,6 +135,15 @@ class LineCrf:
             t = t + rate * (mt / a) / (np.sqrt(vt / b) + 1e-8)
         return cls(w, t)
 
+    @staticmethod
+    def _padded(texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Levels, seeds and a mask of the lines that are there, filled up to the longest text."""
+        n, longest = len(texts), max(len(x[0]) for x in texts)
+        lv, ok, on = np.zeros((n, longest, len(BOUNDS)), int), np.ones((n, longest, 2), bool), np.zeros((n, longest), bool)
+        for i, (a, s) in enumerate(texts):
+            lv[i, : len(a)], ok[i, : len(a)], on[i, : len(a)] = a, s, True
+        return lv, ok, on
+
     @staticmethod
     def _marginals(emit: np.ndarray, t: np.ndarray, on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Label probabilities of each line and summed step probabilities, by forward and backward passes."""
@@ -183,8 +194,8 @@ def label_lines(text: bytes, crf: LineCrf) -> list[tuple[bytes, int, int]]:
     return [(x, len(s), y) for x, s, y in zip(lines, split, labels, strict=True)]
 
 
-def fit_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 800, max_lines: int = 64) -> LineCrf:
-    """Trains on ``sample`` documents, those of least hash of their id, and ``max_lines`` evenly spaced lines of each.
+def fit_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 800) -> LineCrf:
+    """Trains on ``sample`` documents, those of least hash of their id, with all lines of each.
 
     The bound on the sample is a parameter; ties in the hash go by id.
     """
@@ -195,7 +206,6 @@ def fit_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
             out = []
             for text in texts:
                 lines = [x for x in (text or b"").split(b"\n") if x.strip(_SPACE)]
-                lines = lines[:: max(1, -(-len(lines) // max_lines))]
                 out.append((line_values(lines, [x.split() for x in lines]).astype("<f8").tobytes(),))
             return out
 

@@ -372,3 +372,13 @@ def test_license_texts_are_whole(label, last):
     scan = lambda t: licenses.scan(t.encode(), (), automata)[5]
     assert full.endswith(last) and scan(full) == label
     assert scan(full.removesuffix(last)) == "" and scan(full.replace("be liable for any", "be liable for some")) == ""
+
+
+def test_crf_learns_from_all_lines(spark, monkeypatch):
+    text = "\n".join(f"Line {i % 90} of a long text, with words." for i in range(150))
+    got = []
+    monkeypatch.setattr(quality.LineCrf, "fit", classmethod(lambda cls, texts: got.extend(texts)))
+    quality.fit_crf(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    lines = text.encode().split(b"\n")
+    values = quality.line_values(lines, [x.split() for x in lines])
+    assert len(got) == 1 and (got[0][0] == quality.levels(values)).all() and values[:, -1].sum() == 60
