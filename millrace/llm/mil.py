@@ -8,12 +8,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hash, make_room, map_texts, table
+from .common import least_hash, make_room, map_texts, table, work_dir, written
 
 #: Words of a passage; buckets of hashed words; size of a passage's representation and of the attention.
 PASSAGE, BUCKETS, HIDDEN, GATE = 64, 128, 24, 12
 #: Words whose values one task remembers at once.
 MAX_WORDS = 200_000
+#: Passages that training holds at most.
+MAX_PASSAGES = 200_000
 _VALUES = 9
 N_INPUTS = BUCKETS + _VALUES + 3
 
@@ -138,16 +140,22 @@ class AttentionMil:
         return model
 
 
-def fit_mil(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = 4000, max_passages: int = 24) -> AttentionMil:
-    """Trains on ``sample`` labelled texts, those of least hash of their id, with ``max_passages`` evenly spaced passages of each.
+def fit_mil(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = 4000) -> AttentionMil:
+    """Trains on ``sample`` labelled texts, those of least hash of their id, with all passages of each.
 
-    Both bounds hold for training only. Null labels are left out; of several labels
+    The bound holds for training only; texts so long that together they may have more than MAX_PASSAGES passages
+    lower the number of texts, never a text's passages. Null labels are left out; of several labels
     of an id the least counts, of several texts of an id the first in order of bytes.
     """
     few = labelled.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.min(label).cast("int").alias("__y"))
     few = least_hash(few, "__i", sample)
     rows = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x")).join(F.broadcast(few), "__i")
-    rows = rows.groupBy("__i", "__y").agg(F.min("__x").alias("__x")).select(F.struct("__i", "__y").alias("k"), "__x")
+    rows = rows.groupBy("__i", "__y").agg(F.min("__x").alias("__x"))
+    rows = written(rows, f"{work_dir(docs.sparkSession)}/sample")
+    n, most = rows.agg(F.count("*"), F.sum(F.expr(f"1 + coalesce(octet_length(__x), 0) div {2 * PASSAGE}"))).first()
+    if (most or 0) > MAX_PASSAGES:
+        rows = least_hash(rows, "__i", max(1, n * MAX_PASSAGES // most))
+    rows = rows.select(F.struct("__i", "__y").alias("k"), "__x")
 
     def make():
         make_room()
@@ -157,7 +165,6 @@ def fit_mil(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_c
             out = []
             for text in texts:
                 x, _ = passages([text], words)
-                x = x[np.unique(np.linspace(0, len(x) - 1, min(len(x), max_passages)).astype(int))]
                 out.append((x.astype("<f2").tobytes(),))
             return out
 

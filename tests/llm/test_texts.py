@@ -382,3 +382,15 @@ def test_crf_learns_from_all_lines(spark, monkeypatch):
     lines = text.encode().split(b"\n")
     values = quality.line_values(lines, [x.split() for x in lines])
     assert len(got) == 1 and (got[0][0] == quality.levels(values)).all() and values[:, -1].sum() == 60
+
+
+def test_mil_learns_from_all_passages(spark, monkeypatch):
+    long = "word " * (64 * 100)
+    df = spark.createDataFrame([(i, long) for i in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)], "doc_id long, quality int")
+    got = []
+    monkeypatch.setattr(mil.AttentionMil, "fit", classmethod(lambda cls, bags, labels: got.append([len(b) for b in bags])))
+    mil.fit_mil(df, labels)
+    monkeypatch.setattr(mil, "MAX_PASSAGES", 520)
+    mil.fit_mil(df, labels)
+    assert got == [[100] * 4, [100] * 2]
