@@ -138,12 +138,17 @@ class FmIndex:
         return out
 
 
+def in_order(items: set[str | None]) -> list[str | None]:
+    """Items in order of their ids, those without one first."""
+    return sorted(items, key=lambda x: (x is not None, x or ""))
+
+
 class Phrases:
     """One block of test items: vocabulary, windows by length, and the items of each window."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
         self.vocab: dict[bytes, int] = {}
-        by_window: dict[tuple[int, ...], set[str]] = {}
+        by_window: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in fold(text).split()]
             for i in range(max(1, len(ids) - window + 1) if ids else 0):
@@ -151,7 +156,7 @@ class Phrases:
         self.groups = []
         for n in sorted({len(w) for w in by_window}):
             windows = [w for w in by_window if len(w) == n]
-            self.groups.append((n, np.array(windows, np.int64), [sorted(by_window[w]) for w in windows]))
+            self.groups.append((n, np.array(windows, np.int64), [in_order(by_window[w]) for w in windows]))
         self.least = self.groups[0][0] if self.groups else 0
 
 
@@ -173,7 +178,7 @@ def shard_text(ids: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     return text, at
 
 
-def find_hits(ids: np.ndarray, phrases: Phrases) -> list[tuple[np.ndarray, int, list[list[str]], np.ndarray]]:
+def find_hits(ids: np.ndarray, phrases: Phrases) -> list[tuple[np.ndarray, int, list[list[str | None]], np.ndarray]]:
     """For each window length: places in ``ids``, the length, the items of each window, the window at each place."""
     text, at = shard_text(ids, phrases.least)
     if not len(text):
@@ -216,7 +221,7 @@ def judge(texts: list[bytes | None], blocks: list) -> list[tuple]:
     for i, n in enumerate(sizes.tolist()):
         own = hit[start[i] : start[i] + n]
         spans = np.flatnonzero(np.diff(np.concatenate([[0], own, [0]]).astype(np.int8))).tolist() if items[i] else []
-        out.append((n, int(own.sum()), sorted(items[i]), spans))
+        out.append((n, int(own.sum()), in_order(items[i]), spans))
     return out
 
 
@@ -238,16 +243,16 @@ def find_contamination(
     (the text without the spans; null where there are none).
 
     The benchmark is read in blocks of at most BLOCK_BYTES of text and each block broadcast; every shard is
-    indexed and searched for one block at a time. Null and empty texts have no words and are clean; null items
-    are left out; repeated items count once, repeated documents are judged each on their own.
+    indexed and searched for one block at a time. Null and empty texts have no words and are clean; items without a text
+    are left out, those without an id count as one item that the digest of ids leaves out; repeated items count once, repeated documents are judged each on their own.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("i"), utf8(item_text).alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("string").alias("i"), utf8(item_text).alias("t")).where("t IS NOT NULL")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     blocks = []
     for k in range(n_blocks):
-        rows = items.where(F.pmod(F.xxhash64("i"), F.lit(n_blocks)) == k).collect()
+        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k).collect()
         blocks.append(spark.sparkContext.broadcast(Phrases([(r["i"], bytes(r["t"])) for r in rows], window)))
 
     src, texts_of = id_and_text(docs, id_col, text_col)
@@ -258,7 +263,7 @@ def find_contamination(
     def rows_of(ids: list[pa.Array], texts: list[bytes | None]) -> pa.RecordBatch:
         rows = []
         for text, (n, hit, of, spans) in zip(texts, judge(texts, blocks), strict=True):
-            row = (n, hit, len(of), hashlib.sha256(",".join(of).encode()).hexdigest(), hit > 0 and 20 * hit >= n)
+            row = (n, hit, len(of), hashlib.sha256(",".join(x for x in of if x is not None).encode()).hexdigest(), hit > 0 and 20 * hit >= n)
             rows.append((*row, spans, cut(text, spans) if spans else None) if with_spans else row)
         cols = zip(*rows, strict=True)
         return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(c, type=t) for c, t in zip(cols, types, strict=True))], names=names)

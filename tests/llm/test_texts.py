@@ -394,3 +394,11 @@ def test_mil_learns_from_all_passages(spark, monkeypatch):
     monkeypatch.setattr(mil, "MAX_PASSAGES", 520)
     mil.fit_mil(df, labels)
     assert got == [[100] * 4, [100] * 2]
+
+
+def test_benchmark_rows_without_id_count(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b d"), (3, "z")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "a b"), (None, "b c"), (7, "b d")], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.find_contamination(df, bench).collect()}
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    assert got == {1: (3, 1, sha(b""), True), 2: (3, 2, sha(b"7"), True), 3: (0, 0, sha(b""), False)}
