@@ -60,17 +60,27 @@ def make_room(own: str = "") -> None:
         pass
 
 
-#: Bytes of an Arrow batch that carries whole rows.
-ROW_BATCH_BYTES = 16 << 20
+def numbered(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named c0, c1, .. by position, and the new names of ``names``.
+
+    Whatever the caller's columns are called (dots, names an operator uses itself), none can clash after this.
+    """
+    return df.toDF(*(f"c{i}" for i in range(len(df.columns)))), [f"c{df.columns.index(n)}" for n in names]
 
 
-def with_row(docs: DataFrame) -> DataFrame:
-    """Column ``row`` with all columns of ``docs``: an operator that takes ``row`` as id and ``row.text`` as text returns whole rows without a join.
+def with_row(df: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """Column ``row`` with all columns of ``df`` by position, and where ``names`` are in it.
 
-    Lowers the session's Arrow batches to ROW_BATCH_BYTES, for whole rows pass through memory several times.
+    An operator that takes ``row`` as id and a field of it as text returns whole rows without a join.
     """
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ROW_BATCH_BYTES)
-    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    df, inner = numbered(df, *names)
+    return df.select(F.struct(*df.columns).alias("row")), [f"row.{c}" for c in inner]
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: dict[str, Column] | None = None) -> DataFrame:
+    """The columns that :func:`with_row` has put into ``row``, under their own names again; ``changed`` replaces some."""
+    cols = [(changed or {}).get(c, F.col(f"row.c{i}")).alias(f"c{i}") for i, c in enumerate(columns)]
+    return df.select(*cols).toDF(*columns)
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[bytes | None]]]:
@@ -81,6 +91,8 @@ def id_and_text(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, C
     if text_col.startswith(f"{id_col}."):
         name = text_col[len(id_col) + 1 :]
         return df.select(F.col(id_col).alias("__id")), lambda batch: batch.column(0).field(name).cast(pa.binary()).to_pylist()
+    if {id_col, text_col} <= {*df.columns}:
+        df, (id_col, text_col) = numbered(df, id_col, text_col)
     return df.select(F.col(id_col).alias("__id"), utf8(text_col).alias("__text")), lambda batch: batch.column(1).to_pylist()
 
 

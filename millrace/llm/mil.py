@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hash, make_room, map_texts, table, work_dir, written
+from .common import least_hash, make_room, map_texts, numbered, table, work_dir, written
 
 #: Words of a passage; buckets of hashed words; size of a passage's representation and of the attention.
 PASSAGE, BUCKETS, HIDDEN, GATE = 64, 128, 24, 12
@@ -149,6 +149,7 @@ def fit_mil(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_c
     """
     few = labelled.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.min(label).cast("int").alias("__y"))
     few = least_hash(few, "__i", sample)
+    docs, (id_col, text_col) = numbered(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x")).join(F.broadcast(few), "__i")
     rows = rows.groupBy("__i", "__y").agg(F.min("__x").alias("__x"))
     rows = written(rows, f"{work_dir(docs.sparkSession)}/sample")

@@ -9,14 +9,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import make_room, partitions, release, slices, small, table, utf8, work_dir, written
+from .common import make_room, numbered, partitions, release, slices, small, table, utf8, work_dir, written
 from .components import components
 
 #: Words of a shingle; similarity as a fraction; most sets one block of the local join holds; 64-bit words of a sketch.
 SHINGLE, NUM, DEN, BLOCK, SKETCH = 5, 3, 4, 1024, 4
-#: Word hashes one task remembers.
-MAX_WORDS = 150_000
+#: Word hashes one task remembers; entries a task sends on at once; entries a partition is made for; longest list of one task.
+MAX_WORDS, CHUNK_ENTRIES, MAX_ENTRIES, LONG = 150_000, 1_500_000, 2_000_000, 4096
+#: Pairs that are looked at at once.
+MANY = 2_000_000
 
 _U = np.uint64
 _MULT = [_U(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) for k in range(SHINGLE)]
@@ -24,12 +27,13 @@ _MULT = [_U(0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1) for k in range(SHI
 _ORDERS = (_U(1), _U(0x9E3779B97F4A7C15))
 
 _OWNER = np.dtype([("r", "<i8"), ("n", "<u4")])
-_ENTRY = np.dtype([("t", "<u8"), ("i", "<u2")])
+#: An element and its owner's number in the low half of ``i``; the high half is 1 for an element known to be shared, _TOLD for a count in place of an element.
+_ENTRY, _TOLD = np.dtype([("t", "<u8"), ("i", "<u4")]), np.uint32(2)
 _SUMMED = np.dtype([("k", "<u4"), ("i", "<u4")])
-_NAMED = np.dtype([("r", "<i8"), ("c", "<i8"), ("n", "<u4")])
-_COUNTED = np.dtype([("t", "<u8"), ("d", "<u4"), ("i", "<u4")])
+_COUNTED = np.dtype([("t", "<u8"), ("d", "<u8")])
 _SIGNED = np.dtype([("r", "<i8"), ("c", "<i8"), ("n", "<u4"), ("m", "<u4"), ("s", "<u8", (SKETCH,))])
-_PLACED = np.dtype([("t", "<u8"), ("p", "<u4"), ("i", "<u4")])
+#: List, place in the set's order, owner, and which block of a long list the owner is in (_ALONE: the list is not split here).
+_PLACED, _ALONE = np.dtype([("t", "<u8"), ("p", "<u4"), ("i", "<u4"), ("g", "<u4")]), (1 << 32) - 1
 
 
 def least_overlap(n: np.ndarray | int):
@@ -42,6 +46,11 @@ def _extra(n):
     return np.maximum(1, n // 4)
 
 
+def least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Fewest common elements that link sets of ``n`` and ``m``."""
+    return -(-NUM * (n + m) // (NUM + DEN))
+
+
 class Shingler:
     """Texts to sorted 64-bit shingle hashes."""
 
@@ -82,6 +91,15 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
 
 
+def _portions(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches [a, b) of ``sizes`` that add up to MANY at most, or have one element."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, MANY + (ends[a - 1] if a else 0), side="right")))
+        yield a, b
+        a = b
+
+
 class Forest:
     """Union-find over positions."""
 
@@ -153,29 +171,30 @@ def block_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def pack_by_part(parts: int, owners: np.ndarray, entries: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-    """Entries as one row for each part: the owners they point to, renumbered, and the entries."""
+def pack_by_part(parts: int, owners: np.ndarray, entries: np.ndarray, part: np.ndarray, keep: int = 0) -> pa.RecordBatch:
+    """Entries as one row for each part: the owners they point to, renumbered, and the entries. ``keep``: bits of ``i`` that stay."""
     order = np.argsort(part, kind="stable")
     entries, part = entries[order], part[order]
     edge = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
     ids, own, ent = [], [], []
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         e = entries[a:b].copy()
-        used, e["i"] = np.unique(e["i"], return_inverse=True)
+        used, i = np.unique(e["i"] & ~np.uint32(keep), return_inverse=True)
+        e["i"] = i.astype(np.uint32) | e["i"] & np.uint32(keep)
         ids.append(int(part[a]))
         own.append(owners[used].tobytes())
         ent.append(e.tobytes())
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(own, pa.binary()), pa.array(ent, pa.binary())], names=["part", "own", "ent"])
 
 
-def unpack(batches: Iterator[pa.RecordBatch], owner: np.dtype, entry: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """All entries of a partition, and the owner of each."""
+def unpack(batches: Iterator[pa.RecordBatch], owner: np.dtype, entry: np.dtype, low: int = 0xFFFFFFFF) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a partition, and the owner of each; ``low``: bits of ``i`` that number the owner."""
     owners, entries = [], []
     for batch in batches:
         for o, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             e = np.frombuffer(e, entry)
             entries.append(e)
-            owners.append(np.frombuffer(o, owner)[e["i"]])
+            owners.append(np.frombuffer(o, owner)[e["i"] & np.uint32(low)])
     if not entries:
         return np.zeros(0, owner), np.zeros(0, entry)
     return np.concatenate(owners), np.concatenate(entries)
@@ -185,7 +204,7 @@ _PACKED = "part int, own binary, ent binary"
 
 
 def _dealt(df: DataFrame, parts: int, fn: Callable, schema: str) -> DataFrame:
-    return df.repartition(parts, "part").mapInArrow(fn, schema)
+    return df.repartitionById(parts, "part").mapInArrow(fn, schema)
 
 
 def _part_of(t: np.ndarray, parts: int) -> np.ndarray:
@@ -198,9 +217,23 @@ def _runs(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(t)))
 
 
+def _prefix(n):
+    """How many elements of a set of ``n``, in hash order, are counted."""
+    return np.minimum(n, n - least_overlap(n) + _extra(least_overlap(n)))
+
+
+#: The same for SQL, over a column n.
+_PREFIX_SQL = "least(n, n - (3 * n + 3) div 4 + greatest(1, ((3 * n + 3) div 4) div 4))"
+
+
+def parts_for(spark, entries: int) -> int:
+    """Partitions of at most MAX_ENTRIES entries on average, and no fewer than the session shuffles to."""
+    return max(partitions(spark), -(-entries // MAX_ENTRIES))
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: __id, n, and the set's 128-bit key (k1, k2)."""
-    src = docs.select(F.col(id_col).cast("long").alias("__id"), utf8(text_col).alias("__t"))
+    """One row per document: id, n, the set's 128-bit key (k1, k2) and ``pre``, the elements of its hash-ordered prefix."""
+    src = docs.select(F.col(id_col).cast("long").alias("id"), utf8(text_col).alias("t"))
 
     def run(batches):
         make_room()
@@ -209,54 +242,79 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             sets = [shingle(t) for t in batch.column(1).to_pylist()]
             keys = [set_key(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64())],
-                names=["__id", "n", "k1", "k2"],
-            )
+                [
+                    batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([k[0] for k in keys], pa.int64()),
+                    pa.array([k[1] for k in keys], pa.int64()), pa.array([s[: int(_prefix(len(s)))].tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                ], names=["id", "n", "k1", "k2", "pre"],
+            )
 
-    return src.mapInArrow(run, "__id bigint, n int, k1 bigint, k2 bigint")
+    return src.mapInArrow(run, "id bigint, n int, k1 bigint, k2 bigint, pre binary")
 
 
-def _partnered(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
+def _partnered(rows: DataFrame, parts: int) -> DataFrame:
     """Rows (k1): the sets whose hash-ordered prefix shares so many elements with other sets' that they may link.
 
-    Equal sets of one slice of a batch count once before the shuffle and once after it. Counts go from the elements' tasks
-    to the sets' as packed columns, one row for each pair of tasks.
+    A task counts first what its own sets share with each other: of an element that several of them have, it sends on
+    one entry, marked as shared, and the sets' counts, so that a frequent element costs its own task one entry from
+    each sender. Equal sets of one chunk count once. A set met by two senders may be counted twice, which lets more
+    sets pass, never fewer. Counts go from the elements' tasks to the sets' as packed columns.
     """
 
+    def packed(some: dict[int, tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        own = np.array([(k, n) for k, (n, _) in some.items()], _OWNER)
+        sets = [np.frombuffer(b, _U) for _, b in some.values()]
+        t, i = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(t, kind="stable")
+        t, i = t[order], i[order]
+        first, size = _runs(t)
+        shared = np.repeat(size, size) >= 2
+        told = np.bincount(i[shared], minlength=len(sets))
+        sent = ~shared
+        sent[first] = True
+        mark = shared[sent].astype(np.uint32)
+        ent = np.zeros(int(sent.sum()) + int((told > 0).sum()), _ENTRY)
+        k = len(mark)
+        ent["t"][:k], ent["i"][:k] = t[sent], i[sent] | mark << np.uint32(16)
+        ent["i"][k:] = np.flatnonzero(told) | _TOLD << np.uint32(16)
+        ent["t"][k:] = told[told > 0]
+        part = _part_of(ent["t"], parts)
+        part[k:] = _part_of(own["r"].view(_U), parts)[told > 0]
+        yield pack_by_part(parts, own, ent, part, keep=0xFFFF0000)
+
     def emit(batches):
         make_room()
-        shingle = Shingler()
-        for batch in slices(batches):
-            sets = {}
-            for t in batch.column(0).to_pylist():
-                s = shingle(t)
-                if len(s):
-                    sets.setdefault(set_key(s)[0], s)
-            todo = list(sets.items())
-            for at in range(0, len(todo), 60_000):
-                some = todo[at : at + 60_000]
-                own = np.array([(k, len(s)) for k, s in some], _OWNER)
-                n = own["n"].astype(np.int64)
-                size = np.minimum(n, n - least_overlap(n) + _extra(n))
-                ent = np.empty(int(size.sum()), _ENTRY)
-                ent["t"] = np.concatenate([s[:k] for (_, s), k in zip(some, size.tolist(), strict=True)])
-                ent["i"] = np.repeat(np.arange(len(some)), size)
-                yield pack_by_part(parts, own, ent, _part_of(ent["t"], parts))
+        some, held = {}, 0
+        for batch in batches:
+            for k1, n, pre in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if n and k1 not in some:
+                    some[k1] = (n, pre)
+                    held += len(pre) >> 3
+                    if held >= CHUNK_ENTRIES or len(some) == 1 << 16:
+                        yield from packed(some)
+                        some, held = {}, 0
+        if some:
+            yield from packed(some)
 
     def count(batches):
-        own, ent = unpack(batches, _OWNER, _ENTRY)
-        t, k, n = ent["t"], own["r"], own["n"]
-        order = np.lexsort((k, t))
-        t, k, n = t[order], k[order], n[order]
+        own, ent = unpack(batches, _OWNER, _ENTRY, 0xFFFF)
+        kind = ent["i"] >> np.uint32(16)
+        ready = kind == _TOLD
+        t, k, n, mark = ent["t"][~ready], own["r"][~ready], own["n"][~ready], kind[~ready] == 1
+        order = np.lexsort((~mark, k, t))
+        t, k, n, mark = t[order], k[order], n[order], mark[order]
         new = np.concatenate([[True], (t[1:] != t[:-1]) | (k[1:] != k[:-1])]) if len(t) else np.zeros(0, bool)
-        t, k = t[new], k[new]
-        _, size = _runs(t)
-        keys, first, c = np.unique(k[np.repeat(size, size) >= 2], return_index=True, return_counts=True)
-        if len(keys):
+        t, k, n, mark = t[new], k[new], n[new], mark[new]
+        first, size = _runs(t)
+        counts = (np.repeat(size, size) >= 2) & ~mark
+        if len(first):
+            counts |= np.repeat(np.logical_or.reduceat(mark, first), size) & ~mark
+        k, n, c = np.concatenate([k[counts], own["r"][ready]]), np.concatenate([n[counts], own["n"][ready]]), np.concatenate([np.ones(int(counts.sum()), np.int64), ent["t"][ready].astype(np.int64)])
+        if len(k):
+            keys, first, which = np.unique(k, return_index=True, return_inverse=True)
             owners = np.zeros(len(keys), _OWNER)
-            owners["r"], owners["n"] = keys, n[new][np.repeat(size, size) >= 2][first]
+            owners["r"], owners["n"] = keys, n[first]
             out = np.zeros(len(keys), _SUMMED)
-            out["k"], out["i"] = c, np.arange(len(keys))
+            out["k"], out["i"] = np.bincount(which, weights=c), np.arange(len(keys))
             yield pack_by_part(parts, owners, out, _part_of(keys.view(_U), parts))
 
     def total(batches):
@@ -268,8 +326,7 @@ def _partnered(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
             need = _extra(least_overlap(own["n"][first].astype(np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(own["r"][first][np.add.reduceat(k, first) >= need])], names=["k1"])
 
-    src = docs.select(utf8(text_col).alias("__t"))
-    rows = _dealt(src.mapInArrow(emit, _PACKED), parts, count, _PACKED)
+    rows = _dealt(rows.select("k1", "n", "pre").mapInArrow(emit, _PACKED), parts, count, _PACKED)
     return _dealt(rows, parts, total, "k1 bigint")
 
 
@@ -278,7 +335,8 @@ def _bucket_links(sets: DataFrame, parts: int) -> DataFrame:
 
     A bucket is the least element of a set under one of two hash orders. Buckets are dealt by range of (bucket,
     size, id), so a large bucket spreads over tasks; each task joins blocks of at most BLOCK sets and carries one
-    set of each component into the bucket's next block.
+    set of each component into the bucket's next block, as long as half a block stays free for new ones: the largest
+    sets, which alone can link to what follows. This pass only gathers copies; the lists find what it leaves out.
     """
 
     def emit(batches):
@@ -297,14 +355,14 @@ def _bucket_links(sets: DataFrame, parts: int) -> DataFrame:
             links = block_links([s for _, s in held]) if len(held) > 1 else []
             out.extend((held[i][0], held[j][0]) for i, j in links)
             led = {j for _, j in links}
-            return [x for k, x in enumerate(held) if k not in led][: BLOCK // 2]
+            return [x for k, x in enumerate(held) if k not in led][-max(1, BLOCK // 2) :]
 
         for batch in batches:
             for b, r, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if b != bucket:
                     close()
                     held, bucket = [], b
-                elif len(held) >= BLOCK:
+                elif len(held) >= max(2, BLOCK):
                     held = close()
                 held.append((r, np.frombuffer(s, _U)))
             if out:
@@ -319,125 +377,208 @@ def _bucket_links(sets: DataFrame, parts: int) -> DataFrame:
     return rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).mapInArrow(join, "a bigint, b bigint").distinct()
 
 
+def skip_pairs(t: np.ndarray, c: np.ndarray, n: np.ndarray, p: np.ndarray, g: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (x, y) of entries of one list that may link, in portions; entries come in order of (t, n, c, p).
+
+    A list is cut into blocks of one size and one component, in order of place. Against a block of larger sets only
+    the sizes up to 4/3 are read; blocks of the same component are skipped; and as sets of sizes n and m need
+    ceil(3 (n + m) / 7) common elements, of both blocks only the first stretch is read: an entry at a later place has
+    too few elements left, and so has every entry after it.
+    """
+    if not len(t):
+        return
+    new = np.concatenate([[True], (t[1:] != t[:-1]) | (n[1:] != n[:-1]) | (c[1:] != c[:-1])])
+    start = np.flatnonzero(new)
+    block = np.cumsum(new) - 1
+    bt, bn, bc = np.unique(t, return_inverse=True)[1][start].astype(np.int64), n[start].astype(np.int64), c[start]
+    by_place = block.astype(np.int64) << 32 | p
+    last = np.searchsorted(bt << 32 | bn, bt << 32 | DEN * bn // NUM, side="right")
+    for lo, hi in _portions(last - np.arange(len(start)) - 1):
+        x, y = np.repeat(np.arange(lo, hi), last[lo:hi] - np.arange(lo, hi) - 1), _ranges(np.arange(lo, hi) + 1, last[lo:hi])
+        apart = bc[x] != bc[y]
+        x, y = x[apart], y[apart]
+        need = least_common(bn[x], bn[y])
+        kx = np.searchsorted(by_place, (x << 32) + np.maximum(bn[x] - need, -1), side="right") - start[x]
+        ky = np.searchsorted(by_place, (y << 32) + np.maximum(bn[y] - need, -1), side="right") - start[y]
+        some = (kx > 0) & (ky > 0)
+        x, y, kx, ky = start[x[some]], start[y[some]], kx[some], ky[some]
+        for u, v in _portions(kx):  # a row for each entry of the x side, with the stretch of y that it meets
+            ex, ey, ek = _ranges(x[u:v], x[u:v] + kx[u:v]), np.repeat(y[u:v], kx[u:v]), np.repeat(ky[u:v], kx[u:v])
+            for k, m in _portions(ek):
+                i, j = np.repeat(ex[k:m], ek[k:m]), _ranges(ey[k:m], ey[k:m] + ek[k:m])
+                ok = (g[i] == _ALONE) | (g[i] != g[j])
+                yield i[ok], j[ok]
+
+
 def _candidates(sets: DataFrame, parts: int) -> DataFrame:
-    """Pairs (a, b) of sets in different components (column c) that may link: all of them, by prefix filter.
+    """Pairs (a, ca, na, b, cb, nb) of sets in different components that may link: all of them, by skipping lists.
 
     Elements are ordered by how many sets have them, rarest first. Two sets that link share one of the first
-    n - ceil(3n/4) + 1 elements of each; elements that no other set has come first and join nothing. Within a
-    list, stretches of members of one component are skipped, then pairs by size, by place in the order and by
-    the exact bound that sketches of the shared elements give on the overlap.
+    n - ceil(3n/4) + 1 elements of each; elements that no other set has come first and join nothing. How many sets
+    have an element is summed from one count a task. Each list is joined by :func:`skip_pairs`; pairs that pass are
+    held against the exact bound that sketches of the shared elements give on the overlap. A list of more than LONG
+    sets is dealt in blocks, each pair of blocks a list of its own.
     """
+    dealt = sets.select("r", "c", "s", F.pmod(F.xxhash64("r"), F.lit(parts)).cast("int").alias("part"))
 
-    def emit(batches):
+    def tell(batches):
+        make_room()
+        by_part: dict[int, list[bytes]] = {}
         for batch in batches:
-            r, s, c = (batch.column(k).to_pylist() for k in range(3))
-            own = np.zeros(len(r), _NAMED)
-            sets_ = [np.frombuffer(b, _U) for b in s]
-            own["r"], own["c"], own["n"] = r, c, [len(x) for x in sets_]
-            for at in range(0, len(r), 4096):
-                some = sets_[at : at + 4096]
-                ent = np.empty(sum(map(len, some)), _ENTRY)
-                ent["t"] = np.concatenate(some)
-                ent["i"] = np.repeat(np.arange(len(some)), [len(x) for x in some])
-                yield pack_by_part(parts, own[at : at + len(some)], ent, _part_of(ent["t"], parts))
+            for s, part in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                by_part.setdefault(part, []).append(s)
+        for part, some in by_part.items():
+            t, d = np.unique(np.frombuffer(b"".join(some), _U), return_counts=True)
+            ent = np.empty(len(t), _COUNTED)
+            ent["t"], ent["d"] = t, d
+            to = _part_of(t, parts)
+            order = np.argsort(to, kind="stable")
+            ent, to = ent[order], to[order]
+            first, size = _runs(to)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to[first].astype(np.int32)), pa.array([part] * len(first), pa.int32()), pa.array([ent[a : a + k].tobytes() for a, k in zip(first.tolist(), size.tolist(), strict=True)], pa.binary())],
+                names=["part", "back", "ent"],
+            )
 
-    def count(batches):
-        own, ent = unpack(batches, _NAMED, _ENTRY)
-        order = np.lexsort((own["r"], ent["t"]))
-        own, ent = own[order], ent[order]
-        if len(ent):  # a repeated row counts once
-            once = np.concatenate([[True], (ent["t"][1:] != ent["t"][:-1]) | (own["r"][1:] != own["r"][:-1])])
-            own, ent = own[once], ent[once]
-        _, size = _runs(ent["t"])
-        d = np.repeat(size, size)
-        own, ent = own[d >= 2], ent[d >= 2]
-        if not len(ent):
+    def answer(batches):
+        back, ents = [], []
+        for batch in batches:
+            back += batch.column(1).to_pylist()
+            ents += [np.frombuffer(e, _COUNTED) for e in batch.column(2).to_pylist()]
+        if not ents:
             return
-        out = np.empty(len(ent), _COUNTED)
-        out["t"], out["d"] = ent["t"], np.minimum(d[d >= 2], (1 << 32) - 1)
-        _, first, out["i"] = np.unique(own["r"], return_index=True, return_inverse=True)
-        owners = own[first]
-        yield pack_by_part(parts, owners, out, _part_of(owners["r"].view(_U), parts)[out["i"]])
+        every = np.concatenate(ents)
+        t, which = np.unique(every["t"], return_inverse=True)
+        d = np.bincount(which, weights=every["d"]).astype(np.uint64)
+        ends = np.cumsum([0, *map(len, ents)])
+        out = []
+        for k, e in enumerate(ents):
+            own = d[which[ends[k] : ends[k + 1]]]
+            e = e[own >= 2].copy()
+            e["d"] = own[own >= 2]
+            out.append(e.tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(back, pa.int32()), pa.array(out, pa.binary())], names=["part", "ent"])
 
     def sign(batches):
-        own, ent = unpack(batches, _NAMED, _COUNTED)
-        if not len(ent):
+        """Entries of each set's first elements, from the partition's sets and what its elements' tasks have answered."""
+        r, c, s, told = [], [], [], []
+        for batch in batches:
+            for x in batch.to_pylist():
+                if x["ent"] is not None:
+                    told.append(np.frombuffer(x["ent"], _COUNTED))
+                else:
+                    r.append(x["r"])
+                    c.append(x["c"])
+                    s.append(np.frombuffer(x["s"], _U))
+        told = np.concatenate(told) if told else np.zeros(0, _COUNTED)
+        if not r or not len(told):
             return
-        order = np.lexsort((ent["t"], ent["d"], own["r"]))
-        own, ent = own[order], ent[order]
-        first, size = _runs(own["r"])
-        owners = np.zeros(len(first), _SIGNED)
-        for f in ("r", "c", "n"):
-            owners[f] = own[f][first]
-        n = owners["n"].astype(np.int64)
-        owners["m"] = size
-        which = np.repeat(np.arange(len(first)), size)
-        bit = ent["t"] >> _U(20)
+        order = np.argsort(told["t"], kind="stable")
+        known, counts = told["t"][order], told["d"][order]
+        n = np.array([len(x) for x in s], np.int64)
+        t, which = np.concatenate(s), np.repeat(np.arange(len(s)), n)
+        at = np.minimum(np.searchsorted(known, t), len(known) - 1)
+        shared = known[at] == t
+        t, which, d = t[shared], which[shared], counts[at[shared]]
+        order = np.lexsort((t, d, which))
+        t, which, d = t[order], which[order], d[order]
+        m = np.bincount(which, minlength=len(s))
+        owners = np.zeros(len(s), _SIGNED)
+        owners["r"], owners["c"], owners["n"], owners["m"] = r, c, n, m
+        bit = t >> _U(20)
         np.bitwise_xor.at(owners["s"], (which, (bit >> _U(6)) % _U(SKETCH)), _U(1) << (bit & _U(63)))
-        rank = np.arange(len(ent)) - first[which]
-        kept = rank < (size - least_overlap(n) + 1)[which]
-        out = np.empty(int(kept.sum()), _PLACED)
-        out["t"], out["i"], out["p"] = ent["t"][kept], which[kept], (rank + (n - size)[which])[kept]
-        if len(out):
-            yield pack_by_part(parts, owners, out, _part_of(out["t"], parts))
+        rank = np.arange(len(t)) - np.concatenate([[0], np.cumsum(m)[:-1]])[which]
+        kept = rank < (m - least_overlap(n) + 1)[which]
+        t, which, d, p = t[kept], which[kept], d[kept], (rank + (n - m)[which])[kept]
+        blocks = (d.astype(np.int64) + LONG - 1) // LONG  # 1 for an ordinary list
+        x = np.repeat(np.arange(len(t)), blocks)
+        other = _ranges(np.zeros(len(t), np.int64), blocks)
+        mine = (_part_of(owners["r"].view(_U), 1 << 30)[which] % np.maximum(blocks, 1).astype(_U)).astype(np.int64)[x]
+        lo, hi = np.minimum(mine, other).astype(_U), np.maximum(mine, other).astype(_U)
+        out = np.empty(len(x), _PLACED)
+        out["t"] = np.where(blocks[x] > 1, (t[x] ^ (lo << _U(32) | hi)) * _MULT[1], t[x])
+        out["p"], out["i"], out["g"] = p[x], which[x], np.where(lo == hi, _ALONE, mine)
+        for a in range(0, len(out), MANY):
+            yield pack_by_part(parts, owners, out[a : a + MANY], _part_of(out["t"][a : a + MANY], parts))
 
     def pair(batches):
         own, ent = unpack(batches, _SIGNED, _PLACED)
-        order = np.lexsort((own["r"], own["n"], own["c"], ent["t"]))
+        order = np.lexsort((ent["p"], own["c"], own["n"], ent["t"]))
         own, ent = own[order], ent[order]
-        first, size = _runs(ent["t"])
         found, held = [], 0
-        for a, k in zip(first.tolist(), size.tolist(), strict=True):
-            if k < 2 or own["c"][a] == own["c"][a + k - 1]:
-                continue
-            o, p = own[a : a + k], ent["p"][a : a + k].astype(np.int64)
-            heads, runs = _runs(o["c"])
-            n = o["n"].astype(np.int64)
-            for h, run in zip(heads.tolist(), runs.tolist(), strict=True):
-                rest = np.arange(h + run, k)
-                for x in range(h, h + run) if len(rest) else ():
-                    y = rest[(DEN * n[rest] >= NUM * n[x]) & (DEN * n[x] >= NUM * n[rest])]
-                    both = n[x] + n[y]
-                    y = y[(NUM + DEN) * np.minimum(n[x] - p[x], n[y] - p[y]) >= NUM * both]
-                    apart = np.bitwise_count(o["s"][y] ^ o["s"][x]).sum(1).astype(np.int64)
-                    most = (o["m"][y].astype(np.int64) + int(o["m"][x]) - apart) // 2
-                    y = y[(NUM + DEN) * most >= NUM * (n[x] + n[y])]
-                    if len(y):
-                        z = o["r"][y]
-                        found.append(np.stack([np.minimum(z, o["r"][x]), np.maximum(z, o["r"][x])], 1))
-                        held += len(y)
-                if held > 500_000:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-                    if len(found[0]) > 250_000:
-                        yield pairs_of(found[0])
-                        found = []
-                    held = sum(map(len, found))
+        for x, y in skip_pairs(ent["t"], own["c"], own["n"], ent["p"], ent["g"]):
+            a, b = own[x], own[y]
+            apart = np.bitwise_count(a["s"] ^ b["s"]).sum(1).astype(np.int64)
+            most = (a["m"].astype(np.int64) + b["m"] - apart) // 2
+            ok = most >= least_common(a["n"].astype(np.int64), b["n"].astype(np.int64))
+            a, b = a[ok], b[ok]
+            turn = a["r"] > b["r"]
+            a, b = np.where(turn, b, a), np.where(turn, a, b)
+            found.append(np.stack([a["r"], a["c"], a["n"].astype(np.int64), b["r"], b["c"], b["n"].astype(np.int64)], 1))
+            held += len(a)
+            if held > 500_000:
+                found = [np.unique(np.concatenate(found), axis=0)]
+                if len(found[0]) > 250_000:
+                    yield pairs_of(found[0])
+                    found = []
+                held = sum(map(len, found))
         if found:
             yield pairs_of(np.unique(np.concatenate(found), axis=0))
 
+    names = ["a", "ca", "na", "b", "cb", "nb"]
+
     def pairs_of(x: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, 0])), pa.array(np.ascontiguousarray(x[:, 1]))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(6)], names=names)
+
+    counts = _dealt(dealt, parts, tell, "part int, back int, ent binary")
+    counts = _dealt(counts, parts, answer, "part int, ent binary")
+    both = dealt.withColumn("ent", F.lit(None).cast("binary")).unionByName(counts, allowMissingColumns=True)
+    rows = _dealt(both, parts, sign, _PACKED)
+    return _dealt(rows, parts, pair, ", ".join(f"{n} bigint" for n in names)).distinct()
 
-    rows = sets.select("r", "s", "c").mapInArrow(emit, _PACKED)
-    rows = _dealt(rows, parts, count, _PACKED)
-    rows = _dealt(rows, parts, sign, _PACKED)
-    return _dealt(rows, parts, pair, "a bigint, b bigint").distinct()
 
+def _overlaps(pairs: DataFrame, sets: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with the number ``o`` of elements that the sets named in columns ``a`` and ``b`` have in common."""
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets link."""
+    names = pairs.columns
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
-                keep.append((NUM + DEN) * len(np.intersect1d(x, y, assume_unique=True)) >= NUM * (len(x) + len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            at = batch.schema.names.index
+            o = [len(np.intersect1d(np.frombuffer(x, _U), np.frombuffer(y, _U), assume_unique=True)) for x, y in zip(batch.column(at("sx")).to_pylist(), batch.column(at("sy")).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in names), pa.array(o, pa.int64())], names=[*names, "o"])
 
-    left = sets.select(F.col("r").alias("a"), F.col("s").alias("x"))
-    right = sets.select(F.col("r").alias("b"), F.col("s").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    left, right = sets.select(F.col("r").alias("rx"), F.col("s").alias("sx")), sets.select(F.col("r").alias("ry"), F.col("s").alias("sy"))
+    both = pairs.join(left, F.col(a) == F.col("rx")).join(right, F.col(b) == F.col("ry")).select(*names, "sx", "sy")
+    return both.mapInArrow(run, T.StructType([*pairs.schema.fields, T.StructField("o", T.LongType())]))
+
+
+def _answers(pairs: DataFrame, named: DataFrame, folder: str) -> DataFrame:
+    """Links (ca, cb) between components, from pairs of sets that may link.
+
+    The first set of a component, its lead, gets its answers by comparison. A set's own answers are derived from its
+    lead's: with d elements that the lead lacks and e of the lead's missing, its overlap with a set of another
+    component lies between the leads' overlap less both e and the same with both d added. Only pairs between the
+    bounds are compared, and only while their components are not linked.
+    """
+    enough = lambda o: F.expr(f"{NUM + DEN} * ({o}) >= {NUM} * (na + nb)")
+    leads = pairs.select(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).distinct()
+    sizes = named.select("r", F.expr("octet_length(s) div 8").alias("n"))
+    known = _overlaps(leads, named, "x", "y").join(sizes.toDF("x", "na"), "x").join(sizes.toDF("y", "nb"), "y")
+    known = written(known.select("x", "y", "o", enough("o").alias("linked")), f"{folder}/leads")
+    apart = named.where("r != c AND more").select("r", "c")
+    apart = _overlaps(apart, named, "r", "c").join(sizes, "r").join(sizes.toDF("c", "nc"), "c")
+    apart = written(apart.select("r", F.expr("n - o").alias("d"), F.expr("nc - o").alias("e")), f"{folder}/apart")
+    rest = pairs.where("a != ca OR b != cb").withColumns({"x": F.least("ca", "cb"), "y": F.greatest("ca", "cb")})
+    rest = rest.join(small(known.where("NOT linked").drop("linked"), 3), ["x", "y"])
+    for r, k in (("a", "1"), ("b", "2")):
+        rest = rest.join(small(apart, 3).toDF(f"r{k}", f"d{k}", f"e{k}"), F.col(r) == F.col(f"r{k}"), "left").fillna(0, [f"d{k}", f"e{k}"])
+    rest = rest.withColumn("sure", enough("o - e1 - e2")).where(enough("o + d1 + d2")).select("a", "b", "na", "nb", "x", "y", "sure")
+    rest = written(rest, f"{folder}/rest")
+    sure = rest.where("sure").select("x", "y").distinct()
+    unsure = rest.where("NOT sure").drop("sure").join(sure, ["x", "y"], "left_anti")
+    links = known.where("linked").select("x", "y").unionByName(sure).unionByName(_overlaps(unsure, named, "a", "b").where(enough("o")).select("x", "y"))
+    return written(links.toDF("ca", "cb").distinct(), f"{folder}/links")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
@@ -451,11 +592,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (column r), not by an id; sets of one document are linked at the end.
     """
     spark = docs.sparkSession
-    folder, parts = folder or work_dir(spark), partitions(spark)
-    rows = written(shingle_sets(docs, id_col, text_col), f"{folder}/rows")
-    classes = written(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("__id").alias("r"), F.first("n").alias("n")), f"{folder}/classes")
+    folder = folder or work_dir(spark)
+    docs, (id_, text) = numbered(docs, id_col, text_col)
+    rows = written(shingle_sets(docs, id_, text), f"{folder}/rows")
+    classes = written(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("r"), F.first("n").alias("n")), f"{folder}/classes")
 
-    partnered = _partnered(docs, text_col, parts).distinct()
+    partnered = _partnered(rows, parts_for(spark, rows.agg(F.sum(F.expr(_PREFIX_SQL))).first()[0] or 0)).distinct()
     alive = written(classes.where("r IS NOT NULL").join(partnered, "k1").select("r", "k1", "k2"), f"{folder}/alive")
     release(spark)
 
@@ -470,20 +612,20 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     out.append((k1, s.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=["r", "s"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("r"), utf8(text_col).alias("t")).join(small(alive, 3), "r")
+    texts = docs.select(F.col(id_).cast("long").alias("r"), utf8(text).alias("t")).join(small(alive, 3), "r")
     sets = written(texts.select("t", "k1", "k2").mapInArrow(sets_of, "r bigint, s binary"), f"{folder}/sets")
     release(spark)
 
+    parts = parts_for(spark, sets.agg(F.sum(F.expr("octet_length(s) div 8"))).first()[0] or 0)
     near = components(_bucket_links(sets, parts), f"{folder}/near")
-    named = sets.join(near, sets.r == near.node, "left").select("r", "s", F.coalesce("component", "r").alias("c"))
-    named = written(named, f"{folder}/named")
+    named = sets.dropDuplicates(["r"]).join(near, F.col("r") == F.col("node"), "left")
+    named = written(named.select("r", "s", F.coalesce("component", "r").alias("c"), F.col("node").isNotNull().alias("more")), f"{folder}/named")
     pairs = written(_candidates(named, parts), f"{folder}/pairs")
     release(spark)
-    more = _verified(pairs, sets)
-    own = named.select("r", "c").distinct()
-    ends = more.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select("ca", "cb")
-    ids = rows.where("n > 0 AND __id IS NOT NULL").groupBy("__id").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a != b")
-    ids = rows.where("n > 0").join(written(ids.select("__id", "a"), f"{folder}/several"), "__id").where("a != k1").select("a", F.col("k1").alias("b"))
+    ends = _answers(pairs, named, folder)
+    own = named.select("r", "c")
+    ids = rows.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min("k1").alias("a"), F.max("k1").alias("b")).where("a != b")
+    ids = rows.where("n > 0").join(written(ids.select("id", "a"), f"{folder}/several"), "id").where("a != k1").select("a", F.col("k1").alias("b"))
     same = written(ids.distinct(), f"{folder}/same")  # sets of one document
     own = written(own.unionByName(same.select(F.explode(F.array("a", "b")).alias("r")).distinct().join(own, "r", "left_anti").withColumn("c", F.col("r"))), f"{folder}/own")
     ends = ends.unionByName(same.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select("ca", "cb"))
@@ -493,8 +635,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = final.groupBy("g").agg(F.min("least").alias("component"))
     final = classes.join(final.join(least, "g").select("k1", "component").distinct(), "k1", "left").select("k1", "k2", F.coalesce("component", "r").alias("component"))
     return (
-        rows.join(final, ["k1", "k2"], "left")
-        .select(F.col("__id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("__id")).alias("component_id"))
+        rows.select("id", "n", "k1", "k2").join(final, ["k1", "k2"], "left")
+        .select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+        .toDF(id_col, "n_shingles", "component_id")
     )
 
 
