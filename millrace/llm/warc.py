@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table, utf8, work_dir, written
+from .common import numbered, partitions, small, table, utf8, work_dir, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,18 +60,33 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 def inflate(stream) -> Iterator[bytes]:
-    """The bytes of a gzip file read once, whatever its members."""
-    z = zlib.decompressobj(31)
+    """The bytes of a gzip file read once, whatever its members, in pieces of at most CHUNK bytes however well they pack."""
+    z, begun = zlib.decompressobj(31), False
     while data := stream.read(CHUNK):
         while data:
-            yield z.decompress(data)
-            data = z.unused_data if z.eof else b""
-            if z.eof and data:
+            if z.eof:
                 z = zlib.decompressobj(31)
-    if not z.eof:
+            begun = True
+            piece = z.decompress(data, CHUNK)
+            if piece:
+                yield piece
+            data = z.unused_data if z.eof else z.unconsumed_tail
+    while begun and not z.eof and (piece := z.decompress(z.unconsumed_tail, CHUNK)):
+        yield piece
+    if begun and not z.eof:
         raise ValueError("the gzip stream ends early")
 
 
+def lines(stream) -> Iterator[bytes]:
+    """The lines of a stream, read in pieces of CHUNK bytes."""
+    rest = b""
+    while data := stream.read(CHUNK):
+        *whole, rest = (rest + data).split(b"\n")
+        yield from whole
+    if rest:
+        yield rest
+
+
 def records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
     """Header fields and bytes of each record in a run of plain WARC bytes; holds one record at a time."""
     buf, want, fields = bytearray(), 0, None
@@ -100,12 +115,18 @@ def member(data: bytes, level: int = 3) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def marked(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
-    """Pages with ``p`` (payload) and ``r``: the page whose equal payload stands for this one's, else null."""
-    src = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("u"), F.coalesce(utf8(html_col), F.lit(b"")).alias("p"))
-    src = src.withColumn("h", F.when(F.length("p") >= least, F.sha1("p")))
-    first = src.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("f"))
-    return src.join(first, "h", "left").select("id", "u", "p", F.when(F.col("f") < F.col("id"), F.col("f")).alias("r"))
+def marked(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int, folder: str) -> DataFrame:
+    """Pages with ``p`` (payload) and ``r``: the page whose equal payload stands for this one's, else null.
+
+    Only digests and ids are grouped: payloads stay where they are, unless so many digests repeat that their list is
+    joined by shuffle. Digests of 160 bits and the payload's length stand for the payload.
+    """
+    pages, (id_, url, html) = numbered(pages, id_col, url_col, html_col)
+    src = pages.select(F.col(id_).cast("long").alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("u"), F.coalesce(utf8(html), F.lit(b"")).alias("p"))
+    src = src.withColumn("h", F.when(F.length("p") >= least, F.unhex(F.sha1("p"))))
+    again = src.where("h IS NOT NULL").groupBy("h").agg(F.min("id").alias("f"), F.max("id").alias("l")).where("f < l").drop("l")
+    again = small(written(again, f"{folder}-again"), 6)
+    return src.join(again, "h", "left").select("id", "u", "p", F.when(F.col("f") < F.col("id"), F.col("f")).alias("r"))
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0) -> DataFrame:
@@ -113,8 +134,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     A page whose payload of at least ``least`` bytes equals that of a page with a smaller id becomes a revisit of
     the smallest such page. Null payloads and URLs are empty; rows without an id are responses; rows that repeat
-    an id and payload get a record each. Names are unique to the attempt: the listing, written once, names the
-    files of the attempts that succeeded.
+    an id and payload get a record each; an empty table writes no file. Names are unique to the attempt: the listing,
+    written once, names the files of the attempts that succeeded.
     """
 
     def run(batches):
@@ -142,7 +163,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     def listing(rows):
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.int64())], names=["path", "n_records"])
 
-    return written(marked(pages, id_col, url_col, html_col, least).mapInArrow(run, "path string, n_records bigint"), f"{folder}-list")
+    return written(marked(pages, id_col, url_col, html_col, least, folder).mapInArrow(run, "path string, n_records bigint"), f"{folder}-list")
 
 
 def _each_file(listed: DataFrame) -> DataFrame:
@@ -155,12 +176,13 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     """Rewrites archives record by record; rows (path, index_path, n_records).
 
     Each file is inflated once as a stream, each record written as a gzip member of its own, and a sidecar of
-    JSON lines tells offset, length, type and id of each.
+    JSON lines tells offset, length, type and id of each. An empty list gives none, an empty file an archive without
+    records; a null path is passed over.
     """
 
     def run(batches):
         for batch in batches:
-            for src in batch.column(0).to_pylist():
+            for src in filter(None, batch.column(0).to_pylist()):
                 fs, at = opened(src)
                 to, base = opened(folder)
                 to.create_dir(base, recursive=True)
@@ -179,7 +201,8 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
 def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
     """One row per record, found through the sidecar index: page_id, payload_bytes, payload_digest, record_type, refers_to and, if asked for, payload.
 
-    A response's payload is measured and digested anew and must agree with its header.
+    A response's payload is measured and digested anew and must agree with its header. A page without an id has a null
+    page_id; an empty list of archives gives no rows.
     """
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * with_payload]
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.binary()] * with_payload]
@@ -203,7 +226,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                 fs, at = opened(path)
                 with fs.open_input_file(at) as f, fs.open_input_stream(opened(index)[1]) as idx:
                     rows, size = [], 0
-                    for line in idx.read().splitlines():
+                    for line in lines(idx):
                         rows.append(read(f, json.loads(line)))
                         size += rows[-1][1] if with_payload else 0
                         if len(rows) == 1000 or size > 16 << 20:

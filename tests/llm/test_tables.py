@@ -292,7 +292,8 @@ def test_chats(spark):
 
 def pages(spark):
     rows = [(1, "http://a/", "same"), (7, "http://b/ü x\r\n", "same"), (2, "u", None), (4, "u", ""), (3, None, "é\r\n\r\nWARC/1.1"), (9, "v", "y" * 300_000), (9, "v", "y" * 300_000), (None, "n", "same"), (11, "w", "y" * 300_000)]
-    return rows, spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"id": F.lit(5), "h": F.lit("q"), "p": F.lit(0)}).repartition(3)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return rows, clashing(df).repartition(3)
 
 
 def plain_pages(rows, least=0):
@@ -332,6 +333,9 @@ def test_archives(spark, least, monkeypatch):
         assert z.eof and not z.unused_data  # one member for the whole file
     empty = warc.normalise(warc.write_archives(df.limit(0), f"{folder}/e"), f"{folder}/f")
     assert warc.read_archives(empty).count() == 0
+    monkeypatch.setattr(common, "BROADCAST_VALUES", -1)
+    joined = warc.read_archives(warc.normalise(warc.write_archives(df, f"{folder}/j", least=least), f"{folder}/k")).collect()
+    assert sorted((tuple(r)[:5] for r in joined), key=str) == plain_pages(rows, least)
 
 
 def test_broken_archives():
@@ -348,6 +352,19 @@ def test_broken_archives():
         warc.parse_head(b"HTTP/1.1 200 OK")
 
 
+def test_inflating_is_bounded():
+    import io
+
+    plain = b"x" * 50_000_000 + b"end"
+    pieces = list(warc.inflate(io.BytesIO(gzip.compress(plain) + gzip.compress(b"") + gzip.compress(b"more"))))
+    assert b"".join(pieces) == plain + b"more" and max(map(len, pieces)) <= warc.CHUNK
+    assert list(warc.inflate(io.BytesIO(b""))) == [] and list(warc.inflate(io.BytesIO(gzip.compress(b"")))) == []
+    with pytest.raises(ValueError):
+        list(warc.inflate(io.BytesIO(gzip.compress(plain)[:-9])))
+    text = b"\n".join(b"y" * n for n in (0, 3, 2_000_000, 1))
+    assert list(warc.lines(io.BytesIO(text))) == text.split(b"\n") and list(warc.lines(io.BytesIO(text + b"\n"))) == text.split(b"\n")
+
+
 # queries and pipeline
 
 

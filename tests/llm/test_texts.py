@@ -202,7 +202,7 @@ def test_fm_index_against_scan(seed):
 def test_wavelet_matrix_and_suffix_array():
     r = np.random.default_rng(5)
     text = np.append(r.integers(0, 6, 400), 0)
-    w = decontaminate.WaveletMatrix(text, 5)
+    w = decontaminate.WaveletMatrix.of(text, 5)
     for at in (0, 1, 63, 64, 65, 200, 401):
         for c in range(6):
             assert w.rank(np.array([c]), np.array([at]))[0] == (text[:at] == c).sum()
@@ -211,11 +211,17 @@ def test_wavelet_matrix_and_suffix_array():
     zeros = np.cumsum(text == 0)
     key = lambda i: [(0, zeros[k]) if text[k] == 0 else (1, text[k]) for k in range(i, len(text))]
     assert decontaminate.suffix_array(text).tolist() == sorted(range(len(text)), key=key)
+    again = np.concatenate([np.tile(np.append(r.integers(1, 6, 90), 0), 5), np.ones(70, int), [0]])
+    key2 = np.cumsum(again == 0)
+    order = sorted(range(len(again)), key=lambda i: [(0, key2[k]) if again[k] == 0 else (1, again[k]) for k in range(i, len(again))])
+    assert decontaminate.suffix_array(again).tolist() == order
+    stored = decontaminate.Shard.load(decontaminate.Shard.of([b"a b a", None, b"", b"b c"]).dump())
+    assert stored.words == [b"a", b"b", b"c"] and stored.start.tolist() == [0, 4, 5, 6, 9]
 
 
 def test_contamination_operator(spark, odd, texts, docs, monkeypatch):
     bench = spark.createDataFrame([(1, "word word word"), (2, None), (3, ""), (4, "no id here"), (4, "no id here"), (None, "x")], "item_id long, text string")
-    got = decontaminate.find_contamination(odd, bench).collect()
+    got = decontaminate.find_contamination(odd.coalesce(1), bench).collect()
     want = plain_hits([t for _, t in ODD], [("1", "word word word"), ("4", "no id here")], 13)
     assert [(r.n_words, r.n_hit, r.n_items) for r in got] == [(n, h, len(i)) for n, h, i in want]
     assert [r.items_sha256 for r in got] == [hashlib.sha256(",".join(i).encode()).hexdigest() for _, _, i in want]
@@ -224,9 +230,15 @@ def test_contamination_operator(spark, odd, texts, docs, monkeypatch):
     assert decontaminate.find_contamination(odd, bench.limit(0)).where("n_hit > 0").count() == 0
     real = spark.read.parquet(f"{DIR}/benchmark.parquet")
     one = decontaminate.find_contamination(docs, real).collect()
-    assert [(r.n_words, r.n_hit, r.n_items) for r in one] == [(n, h, len(i)) for n, h, i in plain_hits([t for _, t in texts], [(str(r.item_id), r.text) for r in real.collect()], 13)]
-    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
-    assert decontaminate.find_contamination(docs, real).collect() == one
+    assert [(r.n_words, r.n_hit, r.n_items) for r in sorted(one, key=lambda r: r.doc_id)] == [(n, h, len(i)) for n, h, i in plain_hits([t for _, t in sorted(texts)], [(str(r.item_id), r.text) for r in real.collect()], 13)]
+    order = lambda rows: sorted(rows, key=lambda r: r.doc_id)
+    largest, blocks = [], decontaminate._blocks
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(decontaminate, "SHARD_ROWS", 64)
+    monkeypatch.setattr(decontaminate, "_blocks", lambda *a: (largest.append(sum(len(t) for _, t in b)) or b for b in blocks(*a)))
+    assert order(decontaminate.find_contamination(docs, real).collect()) == order(one)
+    total = sum(len((r.text or "").encode()) for r in real.collect())
+    assert len(largest) > 5 and sum(largest) == total and max(largest) < total / 2
     assert decontaminate.cut(b"A b, c d. e", [1, 3]) == b"A  d. e"
 
 
