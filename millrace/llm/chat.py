@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered, small, work_dir, written
+
 #: Control strings of the template. A text's own escape character is doubled into ESC+'e', so no control string can occur inside an escaped text.
 ESC, OPEN, MID, SEP, CLOSE = "\x1b", "\x1b[", "\x1b|", "\x1b;", "\x1b]"
 
@@ -17,28 +19,35 @@ def unescaped(text: Column) -> Column:
     return F.replace(text, F.lit(ESC + "e"), F.lit(ESC))
 
 
-def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_bits: int = 8) -> DataFrame:
+def format_chats(
+    turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk_bits: int = 8, long: int = 4096, folder: str | None = None
+) -> DataFrame:
     """One row per conversation: id and ``formatted``.
 
     Turns are sorted by turn, role and text; repeated rows stay, null turns come first. Adjacent turns of one role
     share one block ``ESC[ role ESC| text ESC; text ... ESC]``, so that merging can be undone. Null roles and
-    texts count as empty. Turns are collected by ranges of ``2 ** chunk_bits`` turn numbers first and the
-    ranges joined after, so no task sorts more of a long conversation than its share. An empty table gives no rows.
+    texts count as empty. Rows without an id are one conversation. An empty table gives no rows.
+
+    A conversation is collected in one step. One of more than ``long`` rows is collected by ranges of
+    ``2 ** chunk_bits`` turn numbers first and the ranges joined after, so no task sorts more of it than its share.
     """
+    turns, (conv, turn, role, text) = numbered(turns, conv_id, turn, role, text)
+    folder = folder or work_dir(turns.sparkSession)
     t = turns.select(
-        F.col(conv_id).alias("__c"), F.col(turn).cast("long").alias("__t"),
-        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("__r"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__x"),
+        F.col(conv).alias("c"), F.col(turn).cast("long").alias("t"),
+        F.coalesce(F.col(role).cast("string"), F.lit("")).alias("r"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("x"),
     )
-    part = t.groupBy("__c", F.shiftright(F.col("__t"), chunk_bits).alias("__k")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("__t").alias("t"), escaped(F.col("__r")).alias("r"), escaped(F.col("__x")).alias("x")))).alias("b")
-    )
-    part = _merged(part.withColumn("b", F.transform("b", lambda s: F.struct(s.r.alias("r"), s.x.alias("x")))))
-    whole = part.groupBy("__c").agg(F.sort_array(F.collect_list(F.struct("__k", "b"))).alias("b"))
-    whole = _merged(whole.withColumn("b", F.flatten(F.transform("b", lambda s: s.b))))
+    large = small(written(t.groupBy("c").count().where(F.col("count") > long).select(F.col("c").alias("l"), F.lit(True).alias("large")), f"{folder}/long"), 2)
+    t = t.join(large, F.col("c").eqNullSafe(F.col("l")), "left")
+    said = F.sort_array(F.collect_list(F.struct("t", escaped(F.col("r")).alias("r"), escaped(F.col("x")).alias("x"))))
+    plain = lambda df: _merged(df.withColumn("b", F.transform("b", lambda s: F.struct(s.r.alias("r"), s.x.alias("x")))))
+    whole = plain(t.where("large IS NULL").groupBy("c").agg(said.alias("b")))
+    part = plain(t.where("large").groupBy("c", F.shiftright(F.col("t"), chunk_bits).alias("k")).agg(said.alias("b")))
+    joined = part.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("k", "b"))).alias("b"))
+    whole = whole.unionByName(_merged(joined.withColumn("b", F.flatten(F.transform("b", lambda s: s.b)))))
     return whole.select(
-        F.col("__c").alias(conv_id),
-        F.array_join(F.transform("b", lambda s: F.concat(F.lit(OPEN), s.r, F.lit(MID), s.x, F.lit(CLOSE))), "").alias("formatted"),
-    )
+        F.col("c"), F.array_join(F.transform("b", lambda s: F.concat(F.lit(OPEN), s.r, F.lit(MID), s.x, F.lit(CLOSE))), "").alias("formatted"),
+    ).toDF(conv_id, "formatted")
 
 
 def _merged(df: DataFrame) -> DataFrame:
@@ -57,7 +66,10 @@ def _merged(df: DataFrame) -> DataFrame:
 
 
 def read_chats(formatted: DataFrame, conv_id: str = "conv_id", col: str = "formatted") -> DataFrame:
-    """Undoes :func:`format_chats`: id, ``turns`` (array of role and text, in order), ``loss`` (array of the texts under the loss mask)."""
+    """Undoes :func:`format_chats`: id, ``turns`` (array of role and text, in order), ``loss`` (array of the texts under the loss mask).
+
+    An empty text has no turns; a null one has null turns and loss. Other columns are not read.
+    """
     blocks = F.filter(F.split(F.col(col), r"\x1b\]"), lambda s: s != "")
 
     def parse(s: Column) -> Column:

@@ -275,14 +275,16 @@ def plain_chat(rows):
 
 
 def test_chats(spark):
-    df = spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").withColumns({"b": F.lit(1), "h": F.lit(2), "formatted": F.lit(3)}).repartition(3)
-    for bits in (8, 1):
-        out = chat.format_chats(df, chunk_bits=bits)
+    df = clashing(spark.createDataFrame(CHATS, "conv_id long, turn long, role string, text string").withColumns({"b": F.lit(1), "c": F.lit(2), "formatted": F.lit(3), "t": F.lit(4)})).repartition(3)
+    for bits, long in ((8, 4096), (1, 2), (8, 0)):
+        out = chat.format_chats(df, chunk_bits=bits, long=long)
         want = {c: plain_chat([x for x in CHATS if x[0] == c]) for c in {x[0] for x in CHATS}}
         assert {r.conv_id: r.formatted for r in out.collect()} == {c: w[0] for c, w in want.items()}
         for r in chat.read_chats(out).collect():
             assert [tuple(t) for t in r.turns] == want[r.conv_id][1] and r.loss == [x for role, x in want[r.conv_id][1] if role == "assistant"]
     assert chat.format_chats(df.limit(0)).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, "")], "conv_id long, formatted string")
+    assert [tuple(r) for r in chat.read_chats(odd).orderBy("conv_id").collect()] == [(1, None, None), (2, [], [])] and chat.read_chats(odd.limit(0)).count() == 0
     plan = chat.read_chats(out)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
