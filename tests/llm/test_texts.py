@@ -365,7 +365,7 @@ def test_automaton_accepts_its_wordings_only(markup):
 
 
 def test_license_templates():
-    automata = licenses.compiled(tuple(licenses.TEMPLATES.items()))
+    automata = licenses.compiled(licenses.all_templates(licenses.TEMPLATES))
     phrases = tuple((b" " + p.encode() + b" ", label) for p, label in licenses.PHRASES)
     scan = lambda t: licenses.scan(t.encode(), phrases, automata)[5]
     assert scan("Licensed under the Apache License, Version 2.0") == "apache,apache-2.0"
@@ -378,7 +378,7 @@ def test_license_templates():
 
 @pytest.mark.parametrize("label, last", [("isc-text", "the use or performance of this software"), ("bsd-text", "of the possibility of such damage")])
 def test_license_texts_are_whole(label, last):
-    automata = licenses.compiled(tuple(licenses.TEMPLATES.items()))
+    automata = licenses.compiled(licenses.all_templates(licenses.TEMPLATES))
     full = re.sub(r"<<opt>>|<</opt>>|<<alt:|\|[^>|]*>>", "", licenses.TEMPLATES[label])
     full = re.sub(r"<<var:\d+>>", "the copyright holder", full)
     scan = lambda t: licenses.scan(t.encode(), (), automata)[5]
@@ -386,6 +386,110 @@ def test_license_texts_are_whole(label, last):
     assert scan(full.removesuffix(last)) == "" and scan(full.replace("be liable for any", "be liable for some")) == ""
 
 
+GPL3 = """
+    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details."""
+APACHE = """
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+BSD3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+MPL = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+
+
+def license_labels(text):
+    phrases = tuple((b" " + p.encode() + b" ", label) for p, label in licenses.PHRASES)
+    return set(licenses.scan(text.encode(), phrases, licenses.compiled(licenses.all_templates(licenses.TEMPLATES)))[5].split(",")) - {""}
+
+
+@pytest.mark.parametrize("text, label", [(GPL3, "gpl-3.0-notice"), (APACHE, "apache-2.0-notice"), (BSD3, "bsd-text"), (MIT, "mit-text"), (MPL, "mpl-2.0-notice")])
+def test_canonical_texts(text, label):
+    """Known as they stand, in any layout and case; not with a word changed, left out or put into the mandatory wording."""
+    free = {"this", "these", "program", "at", "http", "https", "www", "org", "apache", "licenses", "license", "2", "0", "and", "or", "contributors", "holders", "copyright", "the", "holder", "its", "names", "nor", "name", "of", "1", "3", "authors", "is"}
+    assert label in license_labels(text) and label in license_labels(f"Copyright 2020 A. Person\n# {text.upper()}\n\nmore words")
+    words = text.split()
+    tried = [k for k in range(1, len(words) - 1) if licenses.fold(words[k].encode()).decode().strip() not in free and "/LICENSE" not in words[k]]
+    for k in tried:
+        assert label not in license_labels(" ".join([*words[:k], "quince", *words[k + 1 :]])), words[k]
+        assert label not in license_labels(" ".join(words[:k] + words[k + 1 :])), words[k]
+    assert len(tried) > len(words) / 3 and label not in license_labels(" ".join(words[:-1]))
+    end = text.rstrip("./").rsplit(None, 2)[0]
+    assert label not in license_labels(f"{end} hereby granted in full and you owe us money")
+
+
+@pytest.mark.parametrize(
+    "text, label",
+    [
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License", "lgpl-2.1"),
+        ("you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3.0"),
+        ("you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3", "agpl-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-4.0"),
+        ("is licensed under the Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License", "cc-by-nc-nd-3.0"),
+        ("Licensed under the Mozilla Public License, version 2.0", "mpl-2.0"), ("Released under the GPLv2", "gpl-2.0"), ("licensed under CC BY-SA 3.0", "cc-by-sa-3.0"),
+        ("To the extent possible under law, Ann Example has waived all copyright and related or neighboring rights to this work.", "cc0-1.0"),
+    ],
+)
+def test_license_statements(text, label):
+    got = license_labels(text)
+    assert label in got and not {x for x in got if x.startswith(("cc-", "gpl-", "lgpl-", "agpl-", "mpl-"))} - {label}
+
+
 def test_crf_learns_from_all_lines(spark, monkeypatch):
     text = "\n".join(f"Line {i % 90} of a long text, with words." for i in range(150))
     got = []
