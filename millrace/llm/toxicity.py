@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hash, make_room, map_texts, table
+from .common import least_hash, make_room, map_texts, numbered, slices, table, utf8, work_dir, written
 from .licenses import fold
 from .mil import _sigmoid, held_out
 
@@ -50,37 +51,23 @@ class PuModel:
         return _sigmoid(out)
 
     @classmethod
-    def fit(cls, positive: list[list[bytes]], unlabelled: list[list[bytes]], prior: float, max_words: int = 4096, rounds: int = 800, rate: float = 0.05, l2: float = 5e-4) -> PuModel:
+    def fit(cls, words: list[bytes], positive: list[list[int]], unlabelled: list[list[int]], prior: float, rounds: int, rate: float, l2: float) -> PuModel:
         """Minimises  prior R+(p) + max(0, R-(u) - prior R-(p))  with the logistic loss, by Adam on the whole sample.
 
-        Where the second term is negative its gradient is turned round, as the non-negative estimator asks. Words
-        are chosen by how much more often positive texts have them than unlabelled ones, in standard deviations.
+        Where the second term is negative its gradient is turned round, as the non-negative estimator asks. A text is
+        the list of its features' numbers in ``words``.
         """
         np_, nu = len(positive), len(unlabelled)
         if not np_ or not nu:
             return cls([], np.zeros(0), -10.0 if not np_ else 0.0)
-        counts: dict[bytes, list[int]] = {}
-        for k, texts in enumerate((positive, unlabelled)):
-            for words in texts:
-                for w in words:
-                    counts.setdefault(w, [0, 0])[k] += 1
-        least = max(3, np_ // 200)
-        few = [(w, a, b) for w, (a, b) in counts.items() if a + b >= least]
-        if not few:
+        if not words:
             return cls([], np.zeros(0), float(np.log(prior / (1 - prior))))
-        a, b = np.array([x[1] for x in few], float), np.array([x[2] for x in few], float)
-        base = (a + b + 1) / (np_ + nu + 2)
-        lift = (a / np_ - b / nu) / np.sqrt(base * (1 - base) * (1 / np_ + 1 / nu))
-        order = sorted(range(len(few)), key=lambda i: (-abs(lift[i]), few[i][0]))[:max_words]
-        order = [i for i in order if abs(lift[i]) >= 8]
-        words = [few[i][0] for i in order]
-        vocab = {w: i for i, w in enumerate(words)}
-
-        def matrix(texts: list[list[bytes]]) -> np.ndarray:
+
+        def matrix(texts: list[list[int]]) -> np.ndarray:
             x = np.zeros((len(texts), len(words) + 1), np.float32)
             x[:, -1] = 1
             for i, t in enumerate(texts):
-                x[i, [vocab[w] for w in t if w in vocab]] = 1
+                x[i, t] = 1
             return x
 
         xp, xu = matrix(positive), matrix(unlabelled)
@@ -98,37 +85,70 @@ class PuModel:
         return cls(words, w[:-1], float(w[-1]))
 
 
-def fit_toxicity(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", positives: int = 2000, unlabelled: int = 5000) -> PuModel:
+def choose_features(sample: DataFrame, n_pos: int, n_unl: int, most: int, least: float, least_lift: float) -> list[bytes]:
+    """At most ``most`` features that ``least`` texts of the sample (k: 1 for confirmed ones, x: text) or more have,
+    by how much more or less often confirmed texts have them, in standard deviations; ``least_lift`` at least.
+
+    Texts are counted in Spark; only the chosen features reach the driver.
+    """
+
+    def run(batches):
+        make_room()
+        for batch in slices(batches):
+            for k, t in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
+                f = all_features(fold(t or b"").split())
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(f), pa.int32()), pa.array(f, pa.binary())], names=["k", "f"])
+
+    counts = sample.select("k", utf8("x").alias("x")).mapInArrow(run, "k int, f binary").groupBy("f").agg(F.sum("k").alias("a"), F.sum(1 - F.col("k")).alias("b"))
+    base = f"((a + b + 1D) / {n_pos + n_unl + 2})"
+    lift = f"abs((a / {n_pos}D - b / {n_unl}D) / sqrt({base} * (1 - {base}) * {1 / n_pos + 1 / n_unl!r}D))"
+    rows = counts.where(F.col("a") + F.col("b") >= least).withColumn("lift", F.expr(lift)).where(F.col("lift") >= least_lift)
+    return [bytes(r["f"]) for r in rows.orderBy(F.desc("lift"), "f").limit(most).collect()]
+
+
+def fit_toxicity(
+    docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", positives: int = 2000, unlabelled: int = 5000,
+    max_features: int = 4096, least_share: float = 0.005, least_lift: float = 8.0, rounds: int = 800, rate: float = 0.05, l2: float = 5e-4,
+) -> PuModel:
     """Trains on ``positives`` texts confirmed by ``labelled`` and ``unlabelled`` texts drawn from all, each those of least hash of their id.
 
     The class prior is the share of confirmed texts among all labelled rows. Null labels are left out; of several
-    labels of an id the greatest counts, of several texts of an id the first in order of bytes. Labels of the unlabelled texts are never read.
+    labels of an id the greatest counts, of several texts of an id the first in order of bytes. Labels of the unlabelled
+    texts are never read. Features are chosen as :func:`choose_features` says, among those that ``least_share`` as many
+    texts have as there are confirmed ones (three at least); whole texts are read.
     """
-    one = labelled.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__i")).agg(F.max(label).cast("int").alias("__y"))
-    n, n1 = one.agg(F.count("*"), F.sum("__y")).first()
+    docs, (id_col_, text_col) = numbered(docs, id_col, text_col)
+    one = labelled.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label).cast("int").alias("y"))
+    n, n1 = one.agg(F.count("*"), F.sum("y")).first()
     prior = min(0.9, max(1e-3, (n1 or 0) / max(1, n)))
-    src = docs.select(F.col(id_col).alias("__i"), F.col(text_col).alias("__x"))
+    src = docs.select(F.col(id_col_).alias("i"), F.col(text_col).alias("x"))
 
     def texts_of(ids: DataFrame, kind: int) -> DataFrame:
-        rows = src.join(F.broadcast(ids.distinct()), "__i").groupBy("__i").agg(F.min("__x").alias("__x"))
-        return rows.select(F.lit(kind).alias("k"), "__x")
+        rows = src.join(F.broadcast(ids.distinct()), "i").groupBy("i").agg(F.min("x").alias("x"))
+        return rows.select(F.lit(kind).alias("k"), "x")
 
-    known = texts_of(least_hash(one.where("__y = 1").select("__i"), "__i", positives), 1)
-    drawn = texts_of(least_hash(src.select("__i"), "__i", unlabelled, "u"), 0)
+    known = texts_of(least_hash(one.where("y = 1").select("i"), "i", positives), 1)
+    drawn = texts_of(least_hash(src.select("i"), "i", unlabelled, "u"), 0)
+    sample = written(known.unionByName(drawn), f"{work_dir(docs.sparkSession)}/sample")
+    total, n_pos = sample.agg(F.count("*"), F.sum("k")).first()
+    n_pos, n_unl = n_pos or 0, total - (n_pos or 0)
+    words = choose_features(sample, n_pos, n_unl, max_features, max(3, int(least_share * n_pos)), least_lift) if n_pos and n_unl else []
+    number = {w: k for k, w in enumerate(words)}
 
     def make():
         make_room()
-        return lambda texts: [(b" ".join(all_features(fold(t or b"").split())),) for t in texts]
+        return lambda texts: [([number[f] for f in all_features(fold(t or b"").split()) if f in number],) for t in texts]
 
-    got = map_texts(known.unionByName(drawn), "k", "__x", make, [("w", "binary")]).collect()
-    sides = [sorted(bytes(r["w"]) for r in got if r["k"] == k) for k in (1, 0)]
-    return PuModel.fit([x.split(b" ") for x in sides[0]], [x.split(b" ") for x in sides[1]], prior)
+    got = map_texts(sample, "k", "x", make, [("ids", "array<int>")]).collect()
+    sides = [sorted(list(r["ids"]) for r in got if r["k"] == k) for k in (1, 0)]
+    return PuModel.fit(words, *sides, prior, rounds, rate, l2)
 
 
 def score_toxicity(docs: DataFrame, model: PuModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per document: id, ``score`` (0 to 1, higher: toxic likelier) and ``predicted`` (1 from the threshold on).
 
-    The whole text counts. Null and empty texts get the score of no words; repeated rows are scored each on their own.
+    The whole text counts. Null and empty texts get the score of no words; repeated rows are scored each on their own;
+    an empty table gives no rows.
     """
 
     def make():

@@ -158,15 +158,96 @@ def test_classifiers_on_odd_rows(spark, odd, docs):
         same_for_empty_table(lambda d, s=score, m=model: s(d, m), odd)
 
 
-def test_nnpu_finds_the_planted_word():
+def test_nnpu_finds_the_planted_word(spark):
     r = random.Random(4)
-    text = lambda bad: [*(b"w%d" % r.randrange(300) for _ in range(40)), *[b"vile"] * bad]
-    pos = [toxicity.all_features(text(1)) for _ in range(80)]
-    unl = [toxicity.all_features(text(i % 10 == 0)) for i in range(600)]
-    model = toxicity.PuModel.fit(pos, unl, 0.1)
-    s = model.score([b" ".join(text(i % 2)) for i in range(200)])
+    text = lambda bad: " ".join([*(f"w{r.randrange(300)}" for _ in range(40)), *["vile"] * bad])
+    rows = [(i, text(i % 10 == 0)) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(0, 900)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(docs, labels, least_lift=4.0)
+    assert b"vile" in model.vocab and len(model.vocab) < 20
+    s = model.score([text(i % 2).encode() for i in range(200)])
     assert (s[1::2] >= 0.5).all() and (s[::2] < 0.5).all()
-    assert len(toxicity.PuModel.fit([], unl, 0.1).score([b"a", None])) == 2
+    assert len(toxicity.fit_toxicity(docs, labels, least_lift=4.0, max_features=1).vocab) == 1
+
+
+def test_feature_choice_against_plain_counts(spark):
+    r = random.Random(5)
+    sides = {k: [" ".join(r.choice(["alpha", "beta", "gamma", "delta"][: 2 + 2 * k]) for _ in range(4)) for _ in range(60)] for k in (0, 1)}
+    rows = [(k, t) for k, some in sides.items() for t in some]
+    count = Counter((f, k) for k, t in rows for f in toxicity.all_features(t.encode().split()))
+    lift = {}
+    for f in {f for f, _ in count}:
+        a, b = count[f, 1], count[f, 0]
+        base = (a + b + 1) / 122
+        lift[f] = (a / 60 - b / 60) / np.sqrt(base * (1 - base) * (2 / 60))
+    want = sorted((f for f in lift if abs(lift[f]) >= 3 and count[f, 0] + count[f, 1] >= 10), key=lambda f: (-abs(lift[f]), f))
+    assert toxicity.choose_features(spark.createDataFrame(rows, "k int, x string"), 60, 60, 100, 10, 3.0) == want and want
+
+
+def test_toxicity_scores_against_plain_sums(texts):
+    r = random.Random(6)
+    vocab = sorted({f for _, t in texts[:40] for f in toxicity.all_features(licenses.fold(t.encode()).split()) if r.random() < 0.1})
+    model = toxicity.PuModel(vocab, np.array([r.uniform(-2, 2) for _ in vocab]), -0.5)
+    some = [None, "", *(t for _, t in texts[:80])]
+    for t, got in zip(some, model.score([x and x.encode() for x in some]), strict=True):
+        has = set()
+        for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")):
+            b = w.encode()
+            has |= {b, *(b"\x00" + b[:n] for n in (4, 5, 6) if len(b) > n)}
+        z = -0.5 + sum(model.weights[model.vocab[f]] for f in has if f in model.vocab)
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def plain_mil(model, text):
+    """The score of one text, passage by passage in plain Python."""
+    words = (text or "").encode().split()
+    cuts = [words[i : i + 64] for i in range(0, len(words), 64)] or [[]]
+    h, e = [], []
+    for cut in cuts:
+        n, x = len(cut), [0.0] * mil.N_INPUTS
+        for w in cut:
+            x[zlib.crc32(w.lower().strip(b".,;:!?\"'()")) % mil.BUCKETS] += 1 / n
+        x[: mil.BUCKETS] = [v**0.5 for v in x[: mil.BUCKETS]]
+        for w in cut:
+            chars, upper = len(w.decode()), sum(65 <= c <= 90 for c in w)
+            symbols = sum(c in b"#*$%&|<>@^~=+\\/_" for c in w)
+            values = (chars, chars * chars / 16, upper, upper > 1, symbols, symbols > 0, sum(48 <= c <= 57 for c in w), w[-1:] in b".,;:", w[-1:] in b"!?")
+            for k, v in enumerate(values):
+                x[mil.BUCKETS + k] += v / n
+        x[-3:] = len(set(cut)) / n if n else 0, np.log1p(n), float(n > 0)
+        x = (np.array(x) - model.mean) / model.scale
+        h.append(np.tanh(x @ model.p["W"] + model.p["b"]))
+        e.append(float((np.tanh(h[-1] @ model.p["V"]) / (1 + np.exp(-(h[-1] @ model.p["U"])))) @ model.p["w"]))
+    a = np.exp(np.array(e) - max(e))
+    z = sum(w * v for w, v in zip(a / a.sum(), h, strict=True))
+    return 1 / (1 + np.exp(-float(z @ model.p["c"] + model.p["d"][0])))
+
+
+def test_mil_scores_against_plain_loops(spark, texts, odd):
+    model = mil.AttentionMil.start(np.full(mil.N_INPUTS, 0.1), np.full(mil.N_INPUTS, 0.5), seed=3)
+    df = spark.createDataFrame([(i, t) for i, t in texts[:60]], "doc_id long, text string")
+    for r, (_, t) in zip(mil.score_quality(df.coalesce(1), model).collect(), texts[:60], strict=True):
+        assert r.score == pytest.approx(plain_mil(model, t), abs=1e-5) and r.predicted == (r.score >= 0.7)
+    for r, (_, t) in zip(mil.score_quality(odd.coalesce(1), model).collect(), ODD, strict=True):
+        assert r.score == pytest.approx(plain_mil(model, t), abs=1e-5)
+
+
+def test_content_share_and_kept_against_all_labellings(spark, texts):
+    """content_share and kept from the best of all labellings of a text's lines, found by trying each."""
+    r = np.random.default_rng(9)
+    crf = quality.LineCrf(r.normal(size=(quality.N_FEATURES, 2)), r.normal(size=(2, 2)))
+    some = [(i, "\n".join((t or "").split("\n")[:9])) for i, t in [*texts[:50], *ODD]]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(some)], "doc_id long, text string")
+    rows = {x.doc_id: x for x in quality.quality_rules(df, crf, content_share=0.4).collect()}
+    for k, (_, t) in enumerate(some):
+        lines = [x for x in t.encode().split(b"\n") if x.split()]
+        emit = crf.w[quality.levels(quality.line_values(lines, [x.split() for x in lines]))].sum(1) if lines else np.zeros((0, 2))
+        cost = lambda y: sum(emit[i, v] for i, v in enumerate(y)) + sum(crf.t[a, b] for a, b in itertools.pairwise(y))  # noqa: E731, B023
+        best = max(itertools.product((0, 1), repeat=len(lines)), key=cost)
+        n = len(t.split())
+        share = sum(len(x.split()) for x, y in zip(lines, best, strict=True) if y == quality.CONTENT) / n if n else 0.0
+        assert rows[k].content_share == pytest.approx(share) and rows[k].kept == (not rows[k].base_failed and share >= 0.4)
 
 
 # decontamination
@@ -487,7 +568,7 @@ def test_canonical_texts(text, label):
 )
 def test_license_statements(text, label):
     got = license_labels(text)
-    assert label in got and not {x for x in got if x.startswith(("cc-", "gpl-", "lgpl-", "agpl-", "mpl-"))} - {label}
+    assert label in got and not {x for x in got if x.startswith(("cc-by-", "gpl-", "lgpl-", "agpl-", "mpl-"))} - {label}
 
 
 def test_crf_learns_from_all_lines(spark, monkeypatch):
