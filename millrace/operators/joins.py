@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How the build side reaches the probe side. "auto" leaves all to Catalyst; the others are hints.
+#: How the build side reaches the probe side. "auto" leaves all to Catalyst but a build side small enough to broadcast; the others are hints.
 STRATEGIES = ("auto", "broadcast", "shuffle_hash", "merge", "shuffle_replicate_nl")
-#: Largest estimated size of a side that a "broadcast" strategy still broadcasts; beyond it the join is a shuffled hash join.
+#: Largest estimated size of a side that "broadcast" still broadcasts, and of the smaller side that "shuffle_replicate_nl"
+#: still copies to every partition; beyond it the join is a sort-merge join, which needs no side in memory.
 BROADCAST_BYTES = 256 << 20
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of the rows of ``df``."""
+    """Catalyst's estimate of the size of the rows of ``df``; without access to it, too many to broadcast."""
+    if not hasattr(df, "_jdf"):
+        return 1 << 62
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def _broadcast_threshold(df: DataFrame) -> int:
+    """spark.sql.autoBroadcastJoinThreshold in bytes; -1 where broadcasts are off."""
+    size, unit = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").lower()).groups()
+    return int(size) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
 def equi_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], build_left: bool | None = None, strategy: str = "auto") -> DataFrame:
     """Inner join on equality of all key pairs; rows with a null key match nothing, duplicates all match.
 
@@ -29,8 +40,13 @@ def equi_join(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], bu
     for a, b in keys:
         if left.schema[a].dataType != right.schema[b].dataType and "string" in (left.schema[a].dataType.simpleString(), right.schema[b].dataType.simpleString()):
             raise TypeError(f"{a} and {b} can't be compared: {left.schema[a].dataType.simpleString()} and {right.schema[b].dataType.simpleString()}")
-    if strategy == "broadcast" and estimated_bytes(left if build_left else right) > BROADCAST_BYTES:
-        strategy = "shuffle_hash"
+    build = left if build_left else right
+    if strategy == "broadcast" and estimated_bytes(build) > BROADCAST_BYTES:
+        strategy = "merge"
+    if strategy == "shuffle_replicate_nl" and min(estimated_bytes(left), estimated_bytes(right)) > BROADCAST_BYTES:
+        strategy = "merge"
+    if strategy == "auto" and build_left is not None and estimated_bytes(build) <= _broadcast_threshold(build):
+        strategy = "broadcast"
     if strategy != "auto":
         left, right = (left.hint(strategy), right) if build_left else (left, right.hint(strategy))
     on: Column | None = None

@@ -72,9 +72,12 @@ class Plan:
         return self.root
 
 
-def execute(plan: Plan, strategy: str = "shuffle_hash", observer=None) -> DataFrame:
+def execute(plan: Plan, strategy: str = "auto", observer=None) -> DataFrame:
     """The root's rows, in columns c0, c1, ...; build sides as the plan says, by hint.
 
+    With the strategy "auto" a build side is hinted only where it is small enough to be broadcast; other joins are
+    left to Catalyst, which sorts both sides and so needs none to fit in memory.
+
     ``observer``, a Telemetry, gets to see every join's sides and result.
     """
     if plan.root < 0:
@@ -155,17 +158,15 @@ def from_explain(explain: dict, query: Query, catalog: Catalog, two_valued: bool
     tree = explain.get("Plan", explain)
     if (named := aliases(tree)) != set(query.tables):
         raise PlanError(f"the plan scans {', '.join(sorted(named))}; the query names {', '.join(sorted(query.tables))}")
-    out = list(dict.fromkeys(o.column for o in query.outputs))
-    plan.root = build(tree, out)
+    plan.root = build(tree, query.columns())
     return plan
 
 
-def run_explain(text: str, explain: dict, catalog: Catalog, strategy: str = "shuffle_hash", two_valued: bool = False, pipeline: bool = False, observer=None) -> DataFrame:
+def run_explain(text: str, explain: dict, catalog: Catalog, strategy: str = "auto", two_valued: bool = False, pipeline: bool = False, observer=None) -> DataFrame:
     """Runs a query text in the order of its EXPLAIN tree."""
     query = analyse(text, {n: df.columns for n, df in catalog.items()})
-    out = list(dict.fromkeys(o.column for o in query.outputs))
     df = execute(from_explain(explain, query, catalog, two_valued), strategy, observer)
-    return project(query, df.toDF(*(inner_name(c) for c in out)), pipeline)
+    return project(query, df.toDF(*(inner_name(c) for c in query.columns())), pipeline, two_valued)
 
 
 def load_workload(path: str) -> dict[str, tuple[str, dict]]:

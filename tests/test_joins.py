@@ -45,6 +45,24 @@ def test_large_sides_are_not_broadcast(spark, monkeypatch):
     left, right, want = sides(spark, "int")
     df = equi_join(left, right, [("k", "j")], False, "broadcast")
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString() and bag(df) == want
+    df = equi_join(left, right, [("k", "j")], False, "shuffle_replicate_nl")
+    assert "Cartesian" not in df._jdf.queryExecution().executedPlan().toString() and bag(df) == want
+
+
+def test_auto_hints_small_build_sides_only(spark):
+    left, right, want = sides(spark, "int")
+    left, right = left.cache(), right.cache()
+    left.count(), right.count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for size, node in (("1m", "BroadcastHashJoin"), ("-1", "SortMergeJoin")):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+            for build_left in (True, False):
+                df = equi_join(left, right, [("k", "j")], build_left)
+                plan = df._jdf.queryExecution().executedPlan().toString()
+                assert node in plan and (size == "-1" or ("BuildLeft" if build_left else "BuildRight") in plan) and bag(df) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_empty_sides_and_several_keys(spark):

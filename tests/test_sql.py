@@ -80,7 +80,8 @@ def test_names_and_pipeline(tables):
     "text",
     [
         "SELECT id FROM r, s", "SELECT r.id FROM r, s WHERE r.id > s.id", "SELECT r.id FROM r, s", "SELECT x FROM r", "SELECT r.id FROM r, r", "SELECT id FROM nope",
-        "SELECT r.id FROM r, s WHERE NOT (r.id = s.id)", "SELECT r.id FROM r, s WHERE r.id = s.id OR r.k = 1", "SELECT id FROM r WHERE id IN (NULL)", "SELECT id FROM r LIMIT 3",
+        "SELECT r.id FROM r, s WHERE NOT (r.id = s.id)", "SELECT r.id FROM r, s WHERE r.id = s.id OR r.k = 1", "SELECT id FROM r WHERE id IN (NULL)", "SELECT id FROM r LIMIT x", "SELECT id FROM r LIMIT 1.5", "SELECT id FROM r GROUP BY k", "SELECT id FROM r ORDER BY 2", "SELECT DISTINCT id FROM r ORDER BY k",
+        "SELECT k FROM r GROUP BY k HAVING id > 1", "SELECT k FROM r GROUP BY k HAVING MIN(id) = k", "SELECT id FROM r UNION SELECT id FROM s",
         "SELECT id FROM r WHERE s LIKE 5", "SELECT sum(id) FROM r", "SELECT id, MIN(k) FROM r", "SELECT id FROM r WHERE", "SELECT id FROM r WHERE id = ?", "SELECT id + 1 FROM r",
     ],
 )
@@ -89,6 +90,29 @@ def test_rejected_texts(tables, text):
         run_sql(text, tables).collect()
 
 
+TAILS = [
+    "SELECT DISTINCT s.k, s.j FROM s, r WHERE s.id = r.id", "SELECT s.k, COUNT(*) AS n, MIN(r.s) AS first, MAX(r.id) AS last, COUNT(r.s) AS full FROM s, r WHERE s.id = r.id GROUP BY s.k",
+    "SELECT s.k FROM s GROUP BY s.k", "SELECT s.j, s.k, s.j, COUNT(*) FROM s GROUP BY s.k, s.j HAVING COUNT(*) > 1 AND (MIN(id) < 3 OR s.k IS NULL)", "SELECT COUNT(*) AS n FROM r, s WHERE r.id = s.id HAVING COUNT(*) > 100",
+    "SELECT COUNT(*) AS n FROM r AS a, s AS b WHERE a.id = b.id;", "SELECT name FROM s GROUP BY name HAVING NOT (MAX(k) IN (1, 2)) OR name LIKE 'n%'", "SELECT r.id, r.s FROM r ORDER BY r.k DESC NULLS LAST, r.id LIMIT 4",
+    "SELECT s.name AS who, MAX(s.id) AS m FROM s GROUP BY s.name ORDER BY m DESC, 1 LIMIT 2", "SELECT DISTINCT k AS v FROM r ORDER BY v NULLS FIRST LIMIT 2", "SELECT s.k, MIN(s.id) AS m FROM s GROUP BY s.k ORDER BY COUNT(*) DESC NULLS LAST, m ASC LIMIT 1 ;",
+    "SELECT id FROM r ORDER BY id LIMIT 0",
+]
+
+
+@pytest.mark.parametrize("text", TAILS)
+def test_what_follows_the_joins_agrees_with_duckdb(tables, duck, text):
+    got, want = [tuple(r) for r in run_sql(text, tables).collect()], [tuple(r) for r in duck.execute(text).fetchall()]
+    assert got == want if "ORDER BY" in text else bag(got) == bag(want)
+
+
+def test_groups_in_the_order_of_a_plan(tables, duck):
+    text = "SELECT b.k, COUNT(*) AS n FROM r AS a, s AS b, t AS c WHERE a.id = b.id AND b.id = c.id GROUP BY b.k HAVING MAX(c.x) > 1 ORDER BY n DESC, b.k NULLS FIRST"
+    for tree in TREES:
+        assert [tuple(x) for x in run_explain(text, {"Plan": tree}, tables).collect()] == duck.execute(text).fetchall()
+    assert run_explain(text, {"Plan": TREES[0]}, tables, pipeline=True).columns == ["k"]
+    assert run_explain("SELECT COUNT(*) AS n FROM r AS a, s AS b, t AS c WHERE a.id = b.id AND b.id = c.id", {"Plan": TREES[0]}, tables).first().n == 9
+
+
 def test_classes_close_over_equalities():
     q = analyse("SELECT MIN(a.x) FROM p AS a, p AS b, p AS c, p AS d WHERE a.x = b.x AND b.x = c.x AND c.y = d.y AND a.y = a.x", {"p": ["x", "y"]})
     assert q.classes == [frozenset({"a.x", "a.y", "b.x", "c.x"}), frozenset({"c.y", "d.y"})]
