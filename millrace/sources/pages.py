@@ -12,8 +12,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,38 +37,51 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _valid(page: memoryview, rows: int) -> np.ndarray:
-    size = (rows + 7) // 8
-    return np.unpackbits(np.frombuffer(page[PAGE - size : PAGE], np.uint8), count=rows, bitorder="little").astype(bool)
-
-
-def read_column(pages: Iterator[memoryview], kind: LogicalType) -> Iterator[Any]:
-    """The values of a column, None for null; one page is looked at at a time."""
+def read_column(pages: Iterator[memoryview], kind: LogicalType) -> Iterator[pa.Array]:
+    """The values of a column, an array a page (a long string's pages together are one); one page is held at a time."""
     parts: list[bytes] = []
     for page in pages:
         rows, full = struct.unpack_from("<HH", page)
         if parts and rows != _NEXT:
-            yield b"".join(parts).decode()
+            yield pa.array([b"".join(parts).decode()], pa.string())
             parts = []
         if rows in (_FIRST, _NEXT):
             if rows == _NEXT and not parts:
                 raise ValueError("a string goes on that has not begun")
             parts.append(bytes(page[4 : 4 + full]))
             continue
-        valid = _valid(page, rows)
+        bitmap = page[PAGE - (rows + 7) // 8 :]
+        valid = np.unpackbits(np.frombuffer(bitmap, np.uint8), count=rows, bitorder="little").astype(bool)
         if int(valid.sum()) != full:
             raise ValueError("the bitmap and the count of values differ")
         if kind == LogicalType.VARCHAR:
-            ends = np.frombuffer(page, "<u2", full, 4).tolist()
-            at = 4 + 2 * full
-            values = iter([bytes(page[at + a : at + b]).decode() for a, b in zip([0, *ends[:-1]], ends, strict=True)] if full else [])
+            ends = np.zeros(rows + 1, np.int32)
+            ends[1:][valid] = np.diff(np.frombuffer(page, "<u2", full, 4).astype(np.int32), prepend=0)
+            data = page[4 + 2 * full : PAGE - len(bitmap)]
+            array = pa.Array.from_buffers(pa.string(), rows, [pa.py_buffer(bytes(bitmap)), pa.py_buffer(np.cumsum(ends, dtype=np.int32)), pa.py_buffer(bytes(data))])
+            array.validate(full=True)
         else:
             dtype = np.dtype(_NUMPY[kind])
-            values = iter(np.frombuffer(page, dtype, full, max(4, dtype.itemsize)).tolist())
-        for ok in valid.tolist():
-            yield next(values) if ok else None
+            values = np.zeros(rows, dtype)
+            values[valid] = np.frombuffer(page, dtype, full, max(4, dtype.itemsize))
+            array = pa.array(values, _ARROW[kind], mask=~valid)
+        yield array
     if parts:
-        yield b"".join(parts).decode()
+        yield pa.array([b"".join(parts).decode()], pa.string())
+
+
+def _in_rows(arrays: Iterator[pa.Array], kind: LogicalType) -> Callable[[int], pa.Array]:
+    """A function that takes the next n values of a column."""
+    held: list[pa.Array] = []
+
+    def take(n: int) -> pa.Array:
+        while (have := sum(map(len, held))) < n:
+            held.append(next(arrays))
+        whole = pa.concat_arrays(held) if len(held) > 1 else held[0] if held else pa.array([], _ARROW[kind])
+        held[:] = [whole.slice(n)] if have > n else []
+        return whole.slice(0, n)
+
+    return take
 
 
 def read_header(data: bytes) -> tuple[int, list[LogicalType], list[int]]:
@@ -95,63 +107,70 @@ def read_file(uri: str, batch: int = 8192) -> Iterator[pa.RecordBatch]:
                     raise ValueError("the page file is cut short")
                 yield memoryview(page)
 
-    columns = [read_column(pages(s, c), k) for s, c, k in zip(starts, counts, kinds, strict=False)]
+    columns = [_in_rows(read_column(pages(s, c), k), k) for s, c, k in zip(starts, counts, kinds, strict=False)]
     done = 0
     while done < rows:
         n = min(batch, rows - done)
-        arrays = [pa.array([next(c) for _ in range(n)], _ARROW[k]) for c, k in zip(columns, kinds, strict=True)]
-        yield pa.RecordBatch.from_arrays(arrays, names=[f"c{i}" for i in range(len(kinds))])
+        yield pa.RecordBatch.from_arrays([c(n) for c in columns], names=[f"c{i}" for i in range(len(kinds))])
         done += n
 
 
-def write_column(values: list, kind: LogicalType) -> bytes:
-    """A column as pages."""
-    out: list[bytes] = []
-    head = 4 if kind == LogicalType.VARCHAR else max(4, np.dtype(_NUMPY[kind]).itemsize)
-    rows: list[bool] = []
-    held: list = []
-    used = 0
-
-    def close() -> None:
-        nonlocal rows, held, used
-        if rows:
+def _as_array(values: list | pa.Array | pa.ChunkedArray, kind: LogicalType) -> pa.Array:
+    """One array; strings with wide offsets, for a file's characters may pass two gigabytes."""
+    wide = pa.large_string() if kind == LogicalType.VARCHAR else _ARROW[kind]
+    if isinstance(values, list):
+        return pa.array(values, wide)
+    values = values.cast(wide)
+    return values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+
+
+def write_column(values: list | pa.Array | pa.ChunkedArray, kind: LogicalType) -> Iterator[bytes]:
+    """A column as pages. Values are laid out a page at a time from the running sums of their sizes."""
+    array = _as_array(values, kind)
+    valid = np.asarray(array.is_valid())
+    before = np.concatenate([[0], np.cumsum(valid)])
+    dense = array.drop_null()
+    text = kind == LogicalType.VARCHAR
+    if text:
+        ends = np.frombuffer(dense.buffers()[1], np.int64)[dense.offset : dense.offset + len(dense) + 1] if len(dense) else np.zeros(1, np.int64)
+        data, head = dense.buffers()[2] or b"", 4
+        used = 2 * before + (ends - ends[0])[before]
+        long = np.flatnonzero(valid)[np.diff(ends) > LONGEST]
+    else:
+        data, head = dense.to_numpy().astype(_NUMPY[kind]), max(4, np.dtype(_NUMPY[kind]).itemsize)
+        used, long = np.dtype(_NUMPY[kind]).itemsize * before, np.zeros(0, np.int64)
+    # rows i to j fit if head + size + ceil((j - i) / 8) <= PAGE
+    bits = 8 * used + np.arange(len(used))
+    i = 0
+    for stop in [*long.tolist(), len(array)]:
+        while i < stop:
+            j = min(int(np.searchsorted(bits, bits[i] + 8 * (PAGE - head), side="right")) - 1, stop, i + _NEXT - 1)
+            a, b = int(before[i]), int(before[j])
             page = bytearray(PAGE)
-            struct.pack_into("<HH", page, 0, len(rows), len(held))
-            if kind == LogicalType.VARCHAR:
-                ends = np.cumsum([len(x) for x in held]).astype("<u2").tobytes()
-                body = ends + b"".join(held)
+            struct.pack_into("<HH", page, 0, j - i, b - a)
+            if text:
+                body = (ends[a + 1 : b + 1] - ends[a]).astype("<u2").tobytes() + memoryview(data)[ends[a] : ends[b]].tobytes()
             else:
-                body = np.array(held, _NUMPY[kind]).tobytes()
+                body = data[a:b].tobytes()
             page[head : head + len(body)] = body
-            bits = np.packbits(np.array(rows, bool), bitorder="little").tobytes()
-            page[PAGE - len(bits) :] = bits
-            out.append(bytes(page))
-        rows, held, used = [], [], 0
-
-    for v in values:
-        if kind == LogicalType.VARCHAR and v is not None:
-            v = v.encode()
-            if len(v) > LONGEST:
-                close()
-                for i in range(0, len(v), PAGE - 4):
-                    part = v[i : i + PAGE - 4]
-                    out.append((struct.pack("<HH", _NEXT if i else _FIRST, len(part)) + part).ljust(PAGE, b"\0"))
-                continue
-        size = 0 if v is None else 2 + len(v) if kind == LogicalType.VARCHAR else np.dtype(_NUMPY[kind]).itemsize
-        if head + used + size + len(rows) // 8 + 1 > PAGE or len(rows) >= _NEXT - 1:
-            close()
-        rows.append(v is not None)
-        if v is not None:
-            held.append(v)
-        used += size
-    close()
-    return b"".join(out)
-
-
-def write_file(uri: str, columns: list[list], kinds: list[LogicalType]) -> None:
+            bitmap = np.packbits(valid[i:j], bitorder="little").tobytes()
+            page[PAGE - len(bitmap) :] = bitmap
+            yield bytes(page)
+            i = j
+        if stop < len(array):
+            a = int(before[stop])
+            v = memoryview(data)[ends[a] : ends[a + 1]].tobytes()
+            for k in range(0, len(v), PAGE - 4):
+                part = v[k : k + PAGE - 4]
+                yield (struct.pack("<HH", _NEXT if k else _FIRST, len(part)) + part).ljust(PAGE, b"\0")
+            i = stop + 1
+
+
+def write_file(uri: str, columns: list, kinds: list[LogicalType]) -> None:
+    """A page file of columns given as lists or Arrow arrays of one length."""
     if not 0 < len(kinds) <= MAX_COLUMNS:
         raise ValueError(f"a page file has 1 to {MAX_COLUMNS} columns")
-    data = [write_column(c, k) for c, k in zip(columns, kinds, strict=True)]
+    data = [b"".join(write_column(c, k)) for c, k in zip(columns, kinds, strict=True)]
     pad = [0] * (MAX_COLUMNS - len(kinds))
     header = _HEADER.pack(len(columns[0]), len(kinds), *kinds, *pad, *(len(d) // PAGE for d in data), *pad)
     fs, path = _store(uri)
@@ -233,24 +252,24 @@ def write_pages(df: DataFrame, folder: str, rows_per_file: int = 500_000) -> Dat
         raise ValueError(f"a page file has 1 to {MAX_COLUMNS} columns")
 
     def run(batches):
-        held: list[list] = [[] for _ in kinds]
+        held, n = [], 0
 
         def flush():
             path = f"{folder.rstrip('/')}/part-{uuid.uuid4().hex}.tbl"
-            write_file(path, held, kinds)
-            n = len(held[0])
-            for c in held:
-                c.clear()
-            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([n], pa.int64())], names=["path", "n_rows"])
+            table = pa.Table.from_batches(held)
+            write_file(path, table.columns, kinds)
+            return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([table.num_rows], pa.int64())], names=["path", "n_rows"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, rows_per_file):
-                part = batch.slice(at, rows_per_file)
-                for c, col in zip(held, part.columns, strict=True):
-                    c.extend(col.to_pylist())
-                if len(held[0]) >= rows_per_file:
+            while batch.num_rows:
+                part = batch.slice(0, rows_per_file - n)
+                held.append(part)
+                n += part.num_rows
+                batch = batch.slice(part.num_rows)
+                if n == rows_per_file:
                     yield flush()
-        if held[0]:
+                    held, n = [], 0
+        if n:
             yield flush()
 
     return df.mapInArrow(run, "path string, n_rows bigint")

@@ -5,7 +5,7 @@ from pyspark.sql import types as T
 
 from millrace.functions.predicates import Compare
 from millrace.sources.csv import FilteredCache, read_csv, write_csv
-from millrace.sources.pages import LONGEST, PAGE, read_file, read_pages, write_column, write_file, write_pages
+from millrace.sources.pages import LONGEST, PAGE, read_column, read_file, read_pages, write_column, write_file, write_pages
 from millrace.types import LogicalType, logical, schema
 
 SCHEMA = schema(("i", LogicalType.INT32), ("s", LogicalType.VARCHAR), ("t", LogicalType.VARCHAR))
@@ -67,14 +67,45 @@ def test_long_strings_stay_apart(tmp_path):
 
 
 def test_page_layout():
-    page = write_column([5, None, -1], LogicalType.INT32)
+    write = lambda *a: b"".join(write_column(*a))
+    page = write([5, None, -1], LogicalType.INT32)
     assert len(page) == PAGE and page[:4] == bytes([3, 0, 2, 0]) and page[4:12] == (5).to_bytes(4, "little") + b"\xff" * 4 and page[-1] == 0b101
-    page = write_column([7], LogicalType.INT64)
+    page = write([7], LogicalType.INT64)
     assert page[8:16] == (7).to_bytes(8, "little") and page[4:8] == b"\0" * 4
-    page = write_column(["ab", None, "c"], LogicalType.VARCHAR)
+    page = write(["ab", None, "c"], LogicalType.VARCHAR)
     assert page[:4] == bytes([3, 0, 2, 0]) and page[4:8] == bytes([2, 0, 3, 0]) and page[8:11] == b"abc"
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pages_are_filled(seed):
+    """Every page holds as many of the rows as fit, whatever mix of nulls and sizes."""
+    r = random.Random(seed)
+    values = [None if r.random() < 0.3 else "x" * r.choice([0, 1, 50, 3000, 9000]) for _ in range(700)] + [None] * 70_000 * (seed == 0)
+    pages = list(write_column(values, LogicalType.VARCHAR))
+    assert [v for a in read_column(iter(map(memoryview, pages)), LogicalType.VARCHAR) for v in a.to_pylist()] == values
+    at = 0
+    for page in pages:
+        rows = int.from_bytes(page[:2], "little")
+        if rows == 0xFFFE:
+            continue
+        if rows == 0xFFFF:
+            at += 1
+            continue
+        nxt = values[at + rows : at + rows + 1]
+        some = [v for v in [*values[at : at + rows], *nxt] if v is not None]
+        assert not nxt or len(nxt[0] or "") > LONGEST or 4 + sum(2 + len(v) for v in some) + (rows + 8) // 8 > PAGE or rows == 0xFFFD
+        at += rows
+    assert at == len(values)
+
+
+def test_sliced_arrays_are_written(tmp_path):
+    import pyarrow as pa
+
+    whole = pa.array(["a", None, "bcd", "é", None, "f" * 9000, "g"])
+    write_file(str(tmp_path / "s.tbl"), [whole.slice(2, 4), pa.chunked_array([pa.array([1, None]), pa.array([3, 4])])], [LogicalType.VARCHAR, LogicalType.INT64])
+    assert back(str(tmp_path / "s.tbl")) == [["bcd", "é", None, "f" * 9000], [1, None, 3, 4]]
+
+
 def test_page_data_source(spark, tmp_path):
     cols = columns(5000, 3)
     df = spark.createDataFrame(list(zip(*cols, strict=True)), schema(*zip("abcd", LogicalType, strict=True))).repartition(3)
