@@ -7,15 +7,13 @@ from __future__ import annotations
 
 import argparse
 import sys
-import time
 
 from pyspark.sql import SparkSession
 
 from .catalog import MOVIE_TABLES, Catalog
-from .plans.frontend import analyse, run_sql
-from .plans.plan import load_workload, run_explain
-from .telemetry import Telemetry
-from .verify import Difference, compare
+from .plans.frontend import analyse
+from .plans.plan import load_workload
+from .workload import run_one
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -25,7 +23,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("names", nargs="*")
     p.add_argument("--tables", required=True, help="folder of <table>.parquet, or of <table>.csv of the movie schema with --csv")
     p.add_argument("--csv", action="store_true")
-    p.add_argument("--strategy", default="shuffle_hash")
+    p.add_argument("--strategy", default="auto")
     p.add_argument("--pipeline", action="store_true", help="return joined rows instead of aggregates")
     p.add_argument("--sql", action="store_true", help="leave the join order to the engine")
     p.add_argument("--telemetry", action="store_true")
@@ -36,26 +34,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     work = load_workload(a.workload)
     if unknown := [n for n in a.names if n not in work]:
         p.error(f"no query named {', '.join(unknown)}")
+    every = {n: df.columns for n, df in _catalog(spark, a, _names(spark, a)).items()}
     failed, total, times = 0, 0.0, []
     for name in a.names or work:
         text, tree = work[name]
-        used = set(analyse(text, _columns(spark, a)).tables.values())
-        catalog = _catalog(spark, a, sorted(used))
-        watch = Telemetry() if a.telemetry and not a.sql else None
-        began = time.perf_counter()
-        df = run_sql(text, catalog, pipeline=a.pipeline) if a.sql else run_explain(text, tree, catalog, a.strategy, pipeline=a.pipeline, observer=watch)
-        rows = df.collect()
-        ms = (time.perf_counter() - began) * 1000
-        total += ms
-        times.append(f"{name} {ms:.0f}")
-        try:
-            compare(spark.createDataFrame(rows, df.schema), _plain(spark, text, catalog, df, a.pipeline))
-            print(f"{name}: {ms:.0f} ms, {len(rows)} rows, correct")
-        except Difference as e:
-            failed += 1
-            print(f"{name}: {ms:.0f} ms, {len(rows)} rows, WRONG: {e}")
-        if watch:
-            print(watch.report(), file=sys.stderr)
+        used = sorted({*analyse(text, every).tables.values()})
+        r = run_one(text, None if a.sql else tree, _catalog(spark, a, used), a.strategy, a.pipeline, a.telemetry)
+        total += r.ms
+        times.append(f"{name} {r.ms:.0f}")
+        failed += r.wrong is not None
+        print(f"{name}: {r.ms:.0f} ms, {r.rows} rows, " + ("correct" if r.wrong is None else f"WRONG: {r.wrong}"))
+        if r.report:
+            print(r.report, file=sys.stderr)
     print(f"total: {total:.0f} ms")
     if a.times:
         with open(a.times, "w") as f:
@@ -75,20 +65,5 @@ def _catalog(spark, a, names: list[str]) -> Catalog:
     return Catalog.movie_csv(spark, a.tables, names) if a.csv else Catalog.parquet(spark, a.tables, names)
 
 
-def _columns(spark, a) -> dict[str, list[str]]:
-    return {n: df.columns for n, df in _catalog(spark, a, _names(spark, a)).items()}
-
-
-def _plain(spark, text, catalog, df, pipeline):
-    """The text as Spark evaluates it; in pipeline mode with the functions taken out of the select list."""
-    catalog.views()
-    text = text.strip().rstrip(";")
-    if pipeline:
-        query = analyse(text, {n: t.columns for n, t in catalog.items()})
-        at = text.lower().index("from")
-        text = "SELECT " + ", ".join(o.column for o in query.outputs) + " " + text[at:]
-    return spark.sql(text)
-
-
 if __name__ == "__main__":
     sys.exit(main())

@@ -46,9 +46,9 @@ class Catalog(dict):
         return cls({n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names})
 
     @classmethod
-    def movie_csv(cls, spark: SparkSession, folder: str, names: list[str] | None = None) -> Catalog:
-        """The movie tables from ``folder/name.csv``."""
-        return cls({n: read_csv(spark, f"{folder}/{n}.csv", movie_schema(n)) for n in names or MOVIE_TABLES})
+    def movie_csv(cls, spark: SparkSession, folder: str, names: list[str] | None = None, multi_line: bool = True) -> Catalog:
+        """The movie tables from ``folder/name.csv``, a file or a folder of files; without ``multi_line`` large files are split."""
+        return cls({n: read_csv(spark, f"{folder}/{n}.csv", movie_schema(n), multi_line=multi_line) for n in names or MOVIE_TABLES})
 
     def views(self) -> Catalog:
         """Registers every table as a temporary view for ``spark.sql``."""

@@ -20,6 +20,8 @@ from .sources.csv import FilteredCache, read_csv, write_csv
 from .sources.pages import read_pages, write_pages
 from .sources.scratch import scratch
 from .telemetry import Telemetry
+from .verify import Difference, compare
+from .workload import run_one
 
 TABLES = ["region", "nation", "supplier", "customer", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels"]
 
@@ -48,7 +50,7 @@ SQL = {
     "filter_same_table_columns": "SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_suppkey = l_linenumber",
     "join_int32_key": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey",
     "join_bigint_key": "SELECT o_orderkey, c_name FROM orders, customer WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT'",
-    "join_string_key": "SELECT d.doc_id, b.item_id FROM documents AS d, benchmark AS b WHERE d.text = b.text",
+    "join_string_key": "SELECT a.n_nationkey AS k1, b.n_regionkey AS k2, a.n_name FROM nation AS a, nation AS b WHERE a.n_name = b.n_name",
     "join_two_keys": "SELECT a.l_orderkey, a.l_linenumber, b.l_suppkey FROM lineitem AS a, lineitem AS b WHERE a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber",
     "join_duplicate_keys_bag": "SELECT a.n_name AS n1, b.n_name AS n2 FROM nation AS a, nation AS b WHERE a.n_regionkey = b.n_regionkey",
     "join_empty_build": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name = 'ATLANTIS'",
@@ -60,6 +62,10 @@ SQL = {
     "agg_min_empty_is_null": "SELECT MIN(r_name) AS m FROM nation, region WHERE n_regionkey = r_regionkey AND r_name = 'ATLANTIS'",
     "job_template_star5": "SELECT MIN(p.p_name) AS part_name, MIN(o.o_orderdate) AS first_date FROM part AS p, supplier AS s, lineitem AS l, orders AS o, nation AS n WHERE p.p_partkey = l.l_partkey AND s.s_suppkey = l.l_suppkey AND o.o_orderkey = l.l_orderkey AND n.n_nationkey = s.s_nationkey AND n.n_name = 'NATION_7' AND p.p_name NOT LIKE '%anvil%' AND (p.p_type LIKE 'PRO%' OR p.p_type LIKE 'SMALL')",
     "job_template_snowflake8": "SELECT MIN(c.c_name) AS customer, MIN(p.p_name) AS part, MIN(s.s_name) AS supplier FROM region AS r, nation AS n1, nation AS n2, customer AS c, orders AS o, lineitem AS l, supplier AS s, part AS p WHERE p.p_partkey = l.l_partkey AND s.s_suppkey = l.l_suppkey AND l.l_orderkey = o.o_orderkey AND o.o_custkey = c.c_custkey AND c.c_nationkey = n1.n_nationkey AND n1.n_regionkey = r.r_regionkey AND s.s_nationkey = n2.n_nationkey AND r.r_name = 'AMERICA' AND p.p_type = 'ECONOMY' AND p.p_size BETWEEN 1 AND 20 AND o.o_orderpriority IN ('1-URGENT', '2-HIGH')",
+    "sql_distinct": "SELECT DISTINCT p.p_type, l.l_returnflag FROM part AS p, lineitem AS l WHERE p.p_partkey = l.l_partkey AND p.p_size < 10",
+    "sql_group_by": "SELECT n.n_name, COUNT(*) AS n, MIN(o.o_totalprice) AS least, MAX(o.o_orderdate) AS last FROM nation AS n, customer AS c, orders AS o WHERE n.n_nationkey = c.c_nationkey AND c.c_custkey = o.o_custkey GROUP BY n.n_name",
+    "sql_having": "SELECT c.c_mktsegment, o.o_orderpriority, COUNT(*) AS n FROM customer AS c, orders AS o WHERE c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment, o.o_orderpriority HAVING COUNT(*) > 10 AND NOT (c.c_mktsegment = 'BUILDING')",
+    "sql_order_limit": "SELECT o.o_orderkey, o.o_totalprice, c.c_name FROM orders AS o, customer AS c WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC NULLS LAST, o.o_orderkey LIMIT 25",
 }
 
 _STATUS = "(SELECT o_orderkey, NULLIF(o_orderstatus, 'P') AS st FROM orders) v"
@@ -80,7 +86,13 @@ DERIVED_SQL = {
     "source_csv_round_trip": "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_nationkey < 5",
     "source_pages_round_trip": "SELECT p_partkey, p_name, p_size, p_retailprice FROM part",
     "scan_cached_filter": "SELECT p_partkey, p_type FROM part WHERE p_type = 'PROMO' AND p_size > 25",
-    "telemetry_join_rows": "SELECT CAST(25 AS BIGINT) AS probe_rows, CAST(5 AS BIGINT) AS build_rows, CAST(COUNT(*) AS BIGINT) AS out_rows FROM nation, region WHERE n_regionkey = r_regionkey",
+    "scan_cache_found_again": "SELECT p_partkey, p_type, CAST(1 AS BIGINT) AS hits FROM part WHERE p_type = 'PROMO' AND p_size > 25",
+    "scan_cache_in_memory": "SELECT p_partkey, p_type, CAST(2 AS BIGINT) AS hits FROM part WHERE p_type = 'PROMO' AND p_size > 25",
+    "catalog_views_csv": "SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name LIKE 'A%'",
+    "workload_run": "SELECT 'star' AS name, CAST(1 AS BIGINT) AS n_rows, TRUE AS agrees UNION ALL SELECT 'joined', COUNT(*), TRUE FROM part, lineitem, orders WHERE p_partkey = l_partkey AND l_orderkey = o_orderkey AND p_size = 1 AND o_orderstatus = 'P'",
+    "compare_bags": "SELECT 'same' AS what, CAST(COUNT(*) AS BIGINT) AS n FROM orders UNION ALL SELECT 'a row twice', CAST(-1 AS BIGINT) UNION ALL SELECT 'a type', CAST(-1 AS BIGINT)",
+    "predicate_pretty": "SELECT 'OR' || chr(10) || '  p_size >= 3' || chr(10) || '  NOT' || chr(10) || '    p_size = 7' AS text",
+    "telemetry_join_rows": "SELECT (SELECT COUNT(*) FROM nation) AS probe_rows, (SELECT COUNT(*) FROM region) AS build_rows, COUNT(*) AS out_rows FROM nation, region WHERE n_regionkey = r_regionkey",
 }
 #: Every strategy must give the bag of one join.
 DERIVED_SQL |= {f"join_strategy_{s}": "SELECT s_name, n_name FROM supplier, nation WHERE s_nationkey = n_nationkey AND s_acctbal > 0.0" for s in STRATEGIES}
@@ -174,6 +186,60 @@ def _cached(spark, sf_dir):
     return FilteredCache(scratch(spark)).get("part", spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type", "p_size"), where).select("p_partkey", "p_type")
 
 
+def _cache_hits(on_disk: bool) -> Query:
+    """A filtered scan taken three times; on disk the second and third by caches that know nothing of the first's session."""
+
+    def run(spark, sf_dir):
+        where = Compare("p_type", "=", "PROMO") & Compare("p_size", ">", 25)
+        folder = scratch(spark) if on_disk else None
+        cache = FilteredCache(folder)
+        for again in range(2 if on_disk else 3):
+            cache = FilteredCache(folder) if on_disk and again else cache
+            found = cache.get("part", spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type", "p_size"), where)
+        return found.select("p_partkey", "p_type", F.lit(cache.hits).cast("long").alias("hits"))
+
+    return run
+
+
+def _csv_views(spark, sf_dir):
+    made, folder = _catalog(spark, sf_dir, "nation region"), scratch(spark)
+    for name, df in made.items():
+        write_csv(df, f"{folder}/{name}.csv")
+    Catalog({n: read_csv(spark, f"{folder}/{n}.csv", df.schema) for n, df in made.items()}).views()
+    return spark.sql("SELECT n_name, r_name FROM nation, region WHERE n_regionkey = r_regionkey AND r_name LIKE 'A%'")
+
+
+def _workload(spark, sf_dir):
+    scan = lambda a: {"Node Type": "Seq Scan", "Alias": a}
+    joined = "SELECT MIN(p.p_name) AS p_name FROM part AS p, lineitem AS l, orders AS o WHERE p.p_partkey = l.l_partkey AND l.l_orderkey = o.o_orderkey AND p.p_size = 1 AND o.o_orderstatus = 'P';"
+    tree = {"Plan": _hash_join(_hash_join(scan("l"), scan("p"), False), scan("o"), True)}
+    star = _hash_join(_hash_join(_hash_join(_hash_join(scan("s"), scan("n"), False), scan("l"), True), scan("p"), False), scan("o"), False)
+    rows = []
+    for name, text, plan, pipeline in (("star", SQL["job_template_star5"], {"Plan": star}, False), ("joined", joined, tree, True)):
+        r = run_one(text, plan, _catalog(spark, sf_dir, text), pipeline=pipeline)
+        rows.append((name, r.rows, r.wrong is None))
+    return spark.createDataFrame(rows, "name string, n_rows long, agrees boolean")
+
+
+def _compare(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+    def found(other: DataFrame) -> int:
+        try:
+            return compare(orders, other)
+        except Difference:
+            return -1
+
+    one = orders.orderBy("o_orderkey").limit(1)
+    ways = (("same", orders.repartition(3)), ("a row twice", orders.unionByName(one)), ("a type", orders.withColumn("o_totalprice", F.col("o_totalprice").cast("float"))))
+    return spark.createDataFrame([(what, found(df)) for what, df in ways], "what string, n long")
+
+
+def _pretty(spark, sf_dir):
+    where = Compare("p_size", ">=", 3) | Not(Compare("p_size", "=", 7))
+    return spark.range(1).select(F.lit(where.pretty()).alias("text"))
+
+
 def _strategy(strategy: str) -> Query:
     text = DERIVED_SQL[f"join_strategy_{strategy}"]
     return lambda spark, sf_dir: run_sql(text, _catalog(spark, sf_dir, text), strategy)
@@ -206,6 +272,12 @@ def queries() -> dict[str, Query]:
         "source_csv_round_trip": _csv,
         "source_pages_round_trip": _pages,
         "scan_cached_filter": _cached,
+        "scan_cache_found_again": _cache_hits(True),
+        "scan_cache_in_memory": _cache_hits(False),
+        "catalog_views_csv": _csv_views,
+        "workload_run": _workload,
+        "compare_bags": _compare,
+        "predicate_pretty": _pretty,
         "telemetry_join_rows": _telemetry,
     } | {f"join_strategy_{s}": _strategy(s) for s in STRATEGIES}
 

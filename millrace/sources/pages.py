@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..types import SPARK, LogicalType, logical
+from .scratch import store_of
 
 PAGE, MAX_COLUMNS, LONGEST = 8192, 16, 8185
 _HEADER = struct.Struct(f"<QQ{MAX_COLUMNS}I{MAX_COLUMNS}Q")
@@ -29,14 +30,6 @@ _NUMPY = {LogicalType.INT32: "<i4", LogicalType.INT64: "<i8", LogicalType.FP64:
 _ARROW = {LogicalType.INT32: pa.int32(), LogicalType.INT64: pa.int64(), LogicalType.FP64: pa.float64(), LogicalType.VARCHAR: pa.string()}
 
 
-def _store(uri: str):
-    from pyarrow import fs
-
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
-
-
 def read_column(pages: Iterator[memoryview], kind: LogicalType) -> Iterator[pa.Array]:
     """The values of a column, an array a page (a long string's pages together are one); one page is held at a time."""
     parts: list[bytes] = []
@@ -93,7 +86,7 @@ def read_header(data: bytes) -> tuple[int, list[LogicalType], list[int]]:
 
 def read_file(uri: str, batch: int = 8192) -> Iterator[pa.RecordBatch]:
     """The rows of a page file in batches; pages are mapped or fetched as they are needed."""
-    fs, path = _store(uri)
+    fs, path = store_of(uri)
     with fs.open_input_file(path) as f:
         rows, kinds, counts = read_header(f.read(PAGE))
         starts = np.cumsum([1, *counts]).tolist()
@@ -173,7 +166,7 @@ def write_file(uri: str, columns: list, kinds: list[LogicalType]) -> None:
     data = [b"".join(write_column(c, k)) for c, k in zip(columns, kinds, strict=True)]
     pad = [0] * (MAX_COLUMNS - len(kinds))
     header = _HEADER.pack(len(columns[0]), len(kinds), *kinds, *pad, *(len(d) // PAGE for d in data), *pad)
-    fs, path = _store(uri)
+    fs, path = store_of(uri)
     fs.create_dir(path.rpartition("/")[0] or ".", recursive=True)
     with fs.open_output_stream(path) as f:
         f.write(header.ljust(PAGE, b"\0"))
@@ -204,7 +197,7 @@ def page_files(uri: str) -> list[str]:
     """The page files at a path: the file, or all ``.tbl`` files of a folder."""
     from pyarrow import fs as pafs
 
-    fs, path = _store(uri)
+    fs, path = store_of(uri)
     info = fs.get_file_info(path)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(uri)
@@ -225,7 +218,7 @@ class PageSource(DataSource):
         files = page_files(self.options["path"])
         if not files:
             raise ValueError("no page files and no schema given")
-        fs, path = _store(files[0])
+        fs, path = store_of(files[0])
         with fs.open_input_file(path) as f:
             _, kinds, _ = read_header(f.read(PAGE))
         names = [x for x in self.options.get("columns", "").split(",") if x] or [f"c{i}" for i in range(len(kinds))]

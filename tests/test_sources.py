@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.predicates import Compare
@@ -34,9 +35,29 @@ def test_filtered_cache(spark, tmp_path):
     df = spark.range(10)
     for cache in (FilteredCache(), FilteredCache(str(tmp_path))):
         a = cache.get("t", df, Compare("id", "<", 4))
-        assert a is cache.get("t", df, Compare("id", "<", 4)) and a.count() == 4 and cache.get("t", df).count() == 10
+        assert a is cache.get("t", df, Compare("id", "<", 4)) and a.count() == 4 and cache.get("t", df).count() == 10 and cache.hits == 1
         cache.clear()
-    assert FilteredCache.key("t", None) != FilteredCache.key("t", Compare("id", "<", 4))
+
+
+def test_filtered_cache_is_found_again(spark, tmp_path):
+    source, low = str(tmp_path / "t.parquet"), Compare("id", "<", 4)
+    spark.range(10).withColumn("b", F.col("id") * 2).write.parquet(source)
+    read = lambda: spark.read.parquet(source)
+    first = FilteredCache(str(tmp_path / "cache"))
+    assert first.get("t", read(), low).count() == 4 and first.hits == 0
+    again = FilteredCache(str(tmp_path / "cache"))
+    assert again.get("t", read(), low).count() == 4 and again.hits == 1
+    assert again.get("t", read().select("id"), low).columns == ["id"] and again.hits == 1  # other columns
+    assert again.get("u", read(), low).count() == 4 and again.get("t", read()).count() == 10 and again.hits == 1
+    spark.range(3).withColumn("b", F.col("id")).write.mode("overwrite").parquet(source)
+    spark.catalog.refreshByPath(source)
+    changed = FilteredCache(str(tmp_path / "cache"))
+    assert changed.get("t", read(), low).count() == 3 and changed.hits == 0
+    other = str(tmp_path / "u.parquet")
+    spark.range(2).withColumn("b", F.col("id")).write.parquet(other)
+    assert changed.get("t", spark.read.parquet(other), low).count() == 2 and changed.hits == 0  # another source under the name
+    (tmp_path / "cache" / f"{FilteredCache.key('t', read(), low)}.parquet" / "_SUCCESS").unlink()
+    assert FilteredCache(str(tmp_path / "cache")).get("t", read(), low).count() == 3  # a write that was not finished
 
 
 def columns(n, seed=1):
