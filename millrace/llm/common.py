@@ -126,14 +126,23 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, make: Callable[[], Call
 def work_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, the folder all executors share.
 
-    Where the session names none (local tests), the session's warehouse folder stands in.
+    Where the session names none, the warehouse folder stands in; on a cluster it must then be one that all executors see.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/millrace-work"
+        if not spark.sparkContext.master.startswith("local") and base.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, folder: str, *names: str) -> None:
+    """Deletes tables below ``folder`` that no later step reads."""
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
     """The rows of ``df`` from a Parquet table at ``path``: cuts the lineage and survives lost executors."""
     df.write.mode("overwrite").parquet(path)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, folder: str, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node that has a link; ``component`` is the smallest node it reaches.
 
-    Each step is written below ``folder``; steps go on until one changes nothing. A hub's links stay rows of
+    Each step is written below ``folder`` and the one before it deleted; steps go on until one changes nothing. A hub's links stay rows of
     their own throughout: only minima are gathered by node, with partial aggregation before the shuffle.
     """
     edges = written(
@@ -29,6 +29,7 @@ def components(links: DataFrame, folder: str, a: str = "a", b: str = "b") -> Dat
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         k += 1
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), f"{folder}/{k}")
+        discard(links.sparkSession, folder, str(k - 2), str(k - 1))
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == mark:
             break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import numbered, release, small, table, work_dir, written
+from .common import discard, numbered, release, small, table, work_dir, written
 
 #: Flags of a line: which of its halves a line of its own length shares, which one a line of one word less shares,
 #: and whether a line of one word more shares either.
@@ -109,6 +109,7 @@ def dedup_lines(
     known = first.select("h1", "h2", "o", "f").join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
     gone = lines.select("d", "th", "p", "h1", "h2").join(known, ["h1", "h2"]).where(F.col("near") | (F.col("f") & (F.struct("d", "th", "p") > F.col("o"))))
     gone = written(gone.groupBy("d", "th").agg(F.collect_set("p").alias("gone")), f"{folder}/gone")
+    discard(docs.sparkSession, folder, "lines", "first", "flagged", "near", "keyed", "close")
     release(docs.sparkSession)
     out = docs.withColumn("h", _h(text)).join(small(gone, "2 + size(gone)"), F.col(id_).eqNullSafe(F.col("d")) & (F.col("h") == F.col("th")), "left")
     out = out.withColumn("ls", F.split(text, "\n"))

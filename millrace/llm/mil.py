@@ -14,8 +14,6 @@ from .common import least_hash, make_room, map_texts, numbered, table, work_dir,
 PASSAGE, BUCKETS, HIDDEN, GATE = 64, 128, 24, 12
 #: Words whose values one task remembers at once.
 MAX_WORDS = 200_000
-#: Passages that training holds at most.
-MAX_PASSAGES = 200_000
 _VALUES = 9
 N_INPUTS = BUCKETS + _VALUES + 3
 
@@ -140,10 +138,10 @@ class AttentionMil:
         return model
 
 
-def fit_mil(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = 4000) -> AttentionMil:
+def fit_mil(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", sample: int = 4000, max_passages: int = 200_000) -> AttentionMil:
     """Trains on ``sample`` labelled texts, those of least hash of their id, with all passages of each.
 
-    The bound holds for training only; texts so long that together they may have more than MAX_PASSAGES passages
+    The bound holds for training only; texts so long that together they may have more than ``max_passages`` passages
     lower the number of texts, never a text's passages. Null labels are left out; of several labels
     of an id the least counts, of several texts of an id the first in order of bytes.
     """
@@ -154,8 +152,8 @@ def fit_mil(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_c
     rows = rows.groupBy("__i", "__y").agg(F.min("__x").alias("__x"))
     rows = written(rows, f"{work_dir(docs.sparkSession)}/sample")
     n, most = rows.agg(F.count("*"), F.sum(F.expr(f"1 + coalesce(octet_length(__x), 0) div {2 * PASSAGE}"))).first()
-    if (most or 0) > MAX_PASSAGES:
-        rows = least_hash(rows, "__i", max(1, n * MAX_PASSAGES // most))
+    if (most or 0) > max_passages:
+        rows = least_hash(rows, "__i", max(1, n * max_passages // most))
     rows = rows.select(F.struct("__i", "__y").alias("k"), "__x")
 
     def make():
@@ -180,7 +178,7 @@ def score_quality(docs: DataFrame, model: AttentionMil, id_col: str = "doc_id",
     """One row per document: id, ``score`` (0 to 1, higher: label 1 likelier) and ``predicted`` (1 from the threshold on).
 
     All passages of the whole text count. Null and empty texts have one empty passage; repeated rows are scored
-    each on their own. Only the text is an input.
+    each on their own; an empty table gives no rows. Only the text is an input.
     """
 
     def make():

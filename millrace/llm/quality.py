@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import least_hash, make_room, map_texts, table
+from .common import least_hash, make_room, map_texts, numbered, table
 
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -194,11 +194,15 @@ def label_lines(text: bytes, crf: LineCrf) -> list[tuple[bytes, int, int]]:
     return [(x, len(s), y) for x, s, y in zip(lines, split, labels, strict=True)]
 
 
-def fit_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 800) -> LineCrf:
-    """Trains on ``sample`` documents, those of least hash of their id, with all lines of each.
+def fit_crf(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 800) -> LineCrf:
+    """Trains on ``sample`` of the documents that ``labelled`` names, those of least hash of their id, with all lines of each.
 
-    The bound on the sample is a parameter; ties in the hash go by id.
+    The bound on the sample is a parameter; ties in the hash go by id. Of several texts of an id the first in order of
+    bytes counts; null ids and texts are left out. What a line is follows from its look alone (:func:`seeds`).
     """
+    docs, (id_, text_col) = numbered(docs, id_col, text_col)
+    ids = least_hash(labelled.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("i")).distinct(), "i", sample)
+    few = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(ids), F.col(id_) == F.col("i")).groupBy("i").agg(F.min(text_col).alias("x"))
 
     def make():
         make_room()
@@ -211,9 +215,8 @@ def fit_crf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
 
         return step
 
-    few = least_hash(docs.select(id_col, text_col), id_col, sample).where(F.col(text_col).isNotNull())
-    rows = map_texts(few, id_col, text_col, make, [("v", "binary")]).collect()
-    values = [np.frombuffer(r["v"], "<f8").reshape(-1, len(BOUNDS)) for r in sorted(rows, key=lambda r: (str(r[id_col]), bytes(r["v"])))]
+    rows = map_texts(few, "i", "x", make, [("v", "binary")]).collect()
+    values = [np.frombuffer(r["v"], "<f8").reshape(-1, len(BOUNDS)) for r in sorted(rows, key=lambda r: (str(r["i"]), bytes(r["v"])))]
     return LineCrf.fit([(levels(v), seeds(v)) for v in values])
 
 
@@ -222,7 +225,7 @@ def quality_rules(docs: DataFrame, crf: LineCrf, id_col: str = "doc_id", text_co
 
     ``content_share`` is the share of words on lines that the CRF marks as content; a document is kept if the
     base rule holds and the share reaches the bound. Null and empty texts have no words: base_failed, not kept,
-    share 0. Repeated rows are judged each on their own.
+    share 0. Repeated rows are judged each on their own; an empty table gives no rows.
     """
 
     def make():
@@ -248,4 +251,4 @@ def quality_rules(docs: DataFrame, crf: LineCrf, id_col: str = "doc_id", text_co
 
 def op1(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return quality_rules(docs, fit_crf(docs))
+    return quality_rules(docs, fit_crf(docs, table(spark, sf_dir, "labels")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import make_room, numbered, partitions, release, slices, small, table, utf8, work_dir, written
+from .common import discard, make_room, numbered, partitions, release, slices, small, table, utf8, work_dir, written
 from .components import components
 
 #: Words of a shingle; similarity as a fraction; most sets one block of the local join holds; 64-bit words of a sketch.
@@ -632,6 +632,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     far = components(ends, f"{folder}/far", "ca", "cb")
     final = own.join(far, own.c == far.node, "left").select(F.col("r").alias("k1"), F.coalesce("component", "c").alias("g"))
     final = written(classes.join(final, "k1").select("k1", "g", F.col("r").alias("least")), f"{folder}/final")
+    discard(spark, folder, "alive", "sets", "near", "named", "pairs", "leads", "apart", "rest", "links", "several", "same", "own", "far")
     least = final.groupBy("g").agg(F.min("least").alias("component"))
     final = classes.join(final.join(least, "g").select("k1", "component").distinct(), "k1", "left").select("k1", "k2", F.coalesce("component", "r").alias("component"))
     return (

@@ -419,7 +419,7 @@ def test_pipeline_stages(spark, tmp_path):
             assert {i for i, _ in after if i is not None} == {i for i, (_, c) in plain_groups(rows).items() if c == i}
             assert (None, "some words without any id at all") in after or (None, "some words without any id at all") not in before
         elif k == 3:
-            own = {(r.doc_id, r.n_hit > 0, r.contaminated) for r in decontaminate.find_contamination(docs, spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()}
+            own = [(r.doc_id, r.n_hit > 0, r.contaminated) for r in decontaminate.find_contamination(docs, spark.read.parquet(f"{DIR}/benchmark.parquet")).collect()]
             assert sorted(str(i) for i, _ in after) == sorted(str(i) for i, _, gone in own if not gone)
             assert all((i, t) in before for i, t in after if (i, False, False) in own)
         else:

@@ -56,7 +56,7 @@ def plain_base(text):
 
 
 def test_quality_base_counts(docs, odd, texts):
-    crf = quality.fit_crf(docs, sample=100)
+    crf = quality.fit_crf(docs, docs, sample=100)
     got = {r.doc_id: tuple(r)[1:7] for r in quality.quality_rules(docs, crf).collect()}
     assert got == {i: plain_base(t) for i, t in texts}
     rows = quality.quality_rules(odd, crf).collect()
@@ -93,7 +93,7 @@ def test_crf_marginals_and_verdicts(docs, spark):
         assert p[0, i, 1] == pytest.approx(sum(x for x, y in zip(w, paths, strict=True) if y[i]))
     assert pair.sum() == pytest.approx(3)
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
-    kept = {r.doc_id: r.kept or r.n_words < 20 for r in quality.quality_rules(docs, quality.fit_crf(docs, sample=100)).collect()}
+    kept = {r.doc_id: r.kept or r.n_words < 20 for r in quality.quality_rules(docs, quality.fit_crf(docs, docs, sample=100)).collect()}
     good = [kept[i] for i, q in labels.items() if q == 1]
     bad = [kept[i] for i, q in labels.items() if q == 0]
     assert sum(good) >= 0.95 * len(good) and sum(bad) <= 0.35 * len(bad)
@@ -575,7 +575,8 @@ def test_crf_learns_from_all_lines(spark, monkeypatch):
     text = "\n".join(f"Line {i % 90} of a long text, with words." for i in range(150))
     got = []
     monkeypatch.setattr(quality.LineCrf, "fit", classmethod(lambda cls, texts: got.extend(texts)))
-    quality.fit_crf(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    df = spark.createDataFrame([(1, text), (2, "not labelled"), (3, None)], "doc_id long, text string")
+    quality.fit_crf(df, df.where("doc_id != 2").unionByName(df.limit(1)))
     lines = text.encode().split(b"\n")
     values = quality.line_values(lines, [x.split() for x in lines])
     assert len(got) == 1 and (got[0][0] == quality.levels(values)).all() and values[:, -1].sum() == 60
@@ -588,8 +589,7 @@ def test_mil_learns_from_all_passages(spark, monkeypatch):
     got = []
     monkeypatch.setattr(mil.AttentionMil, "fit", classmethod(lambda cls, bags, labels: got.append([len(b) for b in bags])))
     mil.fit_mil(df, labels)
-    monkeypatch.setattr(mil, "MAX_PASSAGES", 520)
-    mil.fit_mil(df, labels)
+    mil.fit_mil(df, labels, max_passages=520)
     assert got == [[100] * 4, [100] * 2]
 
 
