@@ -17,6 +17,10 @@ def store_of(uri: str):
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or below the warehouse where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/millrace-scratch"
+    """A new folder below spark.checkpoint.dir, or below the warehouse where the session names none (and the warehouse is shared)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/millrace-scratch"
+        if not spark.sparkContext.master.startswith("local") and base.startswith(("/", "file:")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
