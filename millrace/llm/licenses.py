@@ -27,7 +27,7 @@ def _gnu(name: str, version: str, thing: str) -> tuple[str, ...]:
     return (
         f"{_GIVEN} {by} {version}",
         f"redistribute it and/or modify it under the terms of {by} {version}",
-        f"{_GIVEN} <<opt>>the<</opt>> <<alt:{thing}v{version.split('.')[0]}|{thing}-{version}|{thing} v{version.split('.')[0]}|{thing} version {version.split('.')[0]}>>",
+        *(f"{_GIVEN} <<opt>>the<</opt>> {short}" for short in (f"{thing}v{version}", f"{thing} {version}", f"{thing} v{version}", f"{thing} version {version}")),
     )
 
 
@@ -117,7 +117,7 @@ class Automaton:
         self.starts = {w for s in first for w, _ in self.edges[s]}
         #: the longest run of mandatory words between markup: any accepted text holds it
         runs = [fold(t.encode()).split() for t in self._mandatory(tokens)]
-        self.key = b" " + b" ".join(max(runs, key=len)) + b" "
+        self.key = b" " + b" ".join(max(reversed(runs), key=lambda r: (len(r), sum(map(len, r))))) + b" "
 
     @staticmethod
     def _mandatory(tokens: list[str]) -> list[str]:
@@ -213,8 +213,13 @@ class Automaton:
 
 
 @lru_cache(maxsize=4)
-def compiled(templates: tuple[tuple[str, str], ...]) -> list[Automaton]:
-    return [Automaton(label, markup) for label, markup in templates]
+def compiled(templates: tuple[tuple[str, str], ...]) -> dict[bytes, list[Automaton]]:
+    """The automata by the run of words that a text must hold."""
+    out: dict[bytes, list[Automaton]] = {}
+    for label, markup in templates:
+        a = Automaton(label, markup)
+        out.setdefault(a.key, []).append(a)
+    return out
 
 
 def places(joined: bytes, phrase: bytes) -> list[int]:
@@ -228,11 +233,11 @@ def places(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def scan(text: bytes, phrases: tuple[tuple[bytes, str], ...], automata: list[Automaton]) -> tuple:
+def scan(text: bytes, phrases: tuple[tuple[bytes, str], ...], automata: dict[bytes, list[Automaton]]) -> tuple:
     words = fold(text).split()
     joined = b" " + b" ".join(words) + b" "
     base = [(p, label) for phrase, label in phrases for p in places(joined, phrase)] if words else []
-    matches = [(a.label, s, e) for a in automata if a.key in joined for s, e in a.find(words)] if words else []
+    matches = [(a.label, s, e) for key, some in automata.items() if key in joined for a in some for s, e in a.find(words)] if words else []
     own = sorted({label for _, label in base})
     starts = [p for p, _ in base]
     longest = max((e - s for _, s, e in matches), default=0)
