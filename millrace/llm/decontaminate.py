@@ -189,6 +189,14 @@ class Phrases:
             self.groups.append((n, windows, np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1)), pairs[:, 1]))
 
 
+class _Numbers(dict):
+    """Numbers words from 1 as they are first met."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self) + 1
+        return n
+
+
 class Shard:
     """The FM-index over all words of some texts, with its vocabulary and where each text starts."""
 
@@ -197,9 +205,8 @@ class Shard:
 
     @classmethod
     def of(cls, texts: list[bytes | None]) -> Shard:
-        vocab: dict[bytes, int] = {}
-        number = lambda w: vocab.setdefault(w, len(vocab) + 1)
-        ids = [np.fromiter(map(number, w), np.int64, len(w)) for w in (fold(t or b"").split() for t in texts)]
+        vocab = _Numbers()
+        ids = [np.fromiter(map(vocab.__getitem__, w), np.int64, len(w)) for w in (fold(t or b"").split() for t in texts)]
         start = np.cumsum([0, *(len(x) + 1 for x in ids)])  # one separator after each text
         text = np.zeros(int(start[-1]), np.int64)
         for at, x in zip(start.tolist(), ids, strict=False):
@@ -209,14 +216,14 @@ class Shard:
     def dump(self) -> bytes:
         x, out = self.index, io.BytesIO()
         levels = np.stack([v.words for v in x.bwt.levels])
-        np.savez(out, count=x.count, levels=levels, zeros=x.bwt.zeros, marked=x.marked.words, places=x.places.astype(np.int32), words=np.frombuffer(b" ".join(self.words), np.uint8), start=self.start)
+        np.savez(out, count=x.count.astype(np.int32), levels=levels, zeros=x.bwt.zeros, marked=x.marked.words, places=x.places.astype(np.int32), words=np.frombuffer(b" ".join(self.words), np.uint8), start=self.start)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Shard:
         x = np.load(io.BytesIO(data), allow_pickle=False)
         bwt = WaveletMatrix([BitRank(v) for v in x["levels"]], x["zeros"].tolist())
-        index = FmIndex(x["count"], bwt, BitRank(x["marked"]), x["places"].astype(np.int64))
+        index = FmIndex(x["count"].astype(np.int64), bwt, BitRank(x["marked"]), x["places"].astype(np.int64))
         return cls(index, x["words"].tobytes().split(), x["start"])
 
     def find(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, list[str | None]]:
