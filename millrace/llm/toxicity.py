@@ -108,7 +108,7 @@ def choose_features(sample: DataFrame, n_pos: int, n_unl: int, most: int, least:
 
 def fit_toxicity(
     docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", positives: int = 2000, unlabelled: int = 5000,
-    max_features: int = 4096, least_share: float = 0.005, least_lift: float = 8.0, rounds: int = 800, rate: float = 0.05, l2: float = 5e-4,
+    max_features: int = 4096, least_share: float = 0.005, least_lift: float = 6.0, rounds: int = 800, rate: float = 0.05, l2: float = 5e-4,
 ) -> PuModel:
     """Trains on ``positives`` texts confirmed by ``labelled`` and ``unlabelled`` texts drawn from all, each those of least hash of their id.
 
