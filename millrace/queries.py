@@ -6,6 +6,7 @@ their inputs as DataFrames first.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -101,7 +102,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _catalog(spark: SparkSession, sf_dir: str, text: str = "") -> Catalog:
-    return Catalog.parquet(spark, sf_dir, [t for t in TABLES if not text or t in text.lower()])
+    return Catalog.parquet(spark, sf_dir, [t for t in TABLES if not text or re.search(rf"\b{t}\b", text.lower())])
 
 
 def _spj(text: str) -> Query:
