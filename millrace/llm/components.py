@@ -11,6 +11,8 @@ from .common import discard, written
 def components(links: DataFrame, folder: str, a: str = "a", b: str = "b") -> DataFrame:
     """Rows (node, component) for every node that has a link; ``component`` is the smallest node it reaches.
 
+    Links of a node with itself, repeated links and links with a null end say nothing; an empty table gives no rows.
+
     Each step is written below ``folder`` and the one before it deleted; steps go on until one changes nothing. A hub's links stay rows of
     their own throughout: only minima are gathered by node, with partial aggregation before the shuffle.
     """

@@ -177,6 +177,8 @@ def test_components(spark, tmp_path):
     got = components.components(spark.createDataFrame(edges, "a long, b long"), str(tmp_path / "c")).collect()
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert {x.node: x.component for x in got} == {x: find(x) for x in linked} and len(got) == len(linked)
+    odd = spark.createDataFrame([(5, 5), (None, 3), (4, None), (None, None), (9, 8), (8, 9), (9, 8)], "a long, b long")
+    assert sorted(map(tuple, components.components(odd, str(tmp_path / "o")).collect())) == [(8, 8), (9, 8)]
     assert components.components(spark.createDataFrame([], "a long, b long"), str(tmp_path / "d")).count() == 0
 
 
@@ -340,6 +342,18 @@ def test_archives(spark, least, monkeypatch):
     assert sorted((tuple(r)[:5] for r in joined), key=str) == plain_pages(rows, least)
 
 
+def test_archives_with_odd_lists(spark):
+    folder = work_dir(spark)
+    none = spark.createDataFrame([(None, 0)], "path string, n_records long")
+    assert warc.normalise(none, f"{folder}/n").count() == 0 and warc.normalise(none.limit(0), f"{folder}/m").count() == 0
+    fs, base = warc.opened(f"{folder}/empty.warc.gz")
+    fs.create_dir(base.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(base, compression=None) as f:
+        f.write(gzip.compress(b""))
+    out = warc.normalise(spark.createDataFrame([(f"{folder}/empty.warc.gz", 0)], "path string, n_records long"), f"{folder}/e")
+    assert [r.n_records for r in out.collect()] == [0] and warc.read_archives(out).count() == 0
+
+
 def test_broken_archives():
     a = warc.make_record(1, "u", b"x", None)
     assert [d for _, d in warc.records(iter([a[:10], a[10:] + a]))] == [a, a]
