@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from .common import KEPT, make_room, map_texts
 
 #: Bounds of the memory of one compiled transducer; a table that outgrows its bound is emptied and filled anew.
-MAX_STATES, MAX_PIECES, MAX_PAIRS = 300_000, 400_000, 300_000
+MAX_STATES, MAX_PIECES, MAX_PAIRS = 300_000, 400_000, 100_000
 #: Ids that the streaming decoder is fed at once.
 CHUNK = 4096
 
@@ -180,12 +180,22 @@ class Encoder:
         fst = self.fst
 
         class Pieces(dict):
+            """Ids of pieces in two generations: a piece of the older one that is met again moves to the younger."""
+
+            older: dict[str, bytes] = {}
+
             def __missing__(self, piece: str) -> bytes:
-                got = fst.encode(piece.encode())
+                got = self.older.pop(piece, None)
+                if got is None:
+                    got = fst.encode(piece.encode())
                 if len(piece) <= 64:
                     self[piece] = got
                 return got
 
+            def age(self) -> None:
+                self.older = dict(self)
+                self.clear()
+
         self.pieces = Pieces()
         self.words = [b""] * (max(ranks.values(), default=-1) + 1)
         for k, v in ranks.items():
@@ -195,8 +205,8 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         out = b"".join(map(self.pieces.__getitem__, self.split(text)))
-        if len(self.pieces) > self.max_pieces:
-            self.pieces.clear()
+        if len(self.pieces) > self.max_pieces // 2:
+            self.pieces.age()
         return out
 
     def decode(self, ids: bytes) -> bytes:
