@@ -24,6 +24,8 @@ from ..types import SPARK, LogicalType, logical
 from .scratch import store_of
 
 PAGE, MAX_COLUMNS, LONGEST = 8192, 16, 8185
+#: Bytes of a file that one task reads.
+SPLIT_BYTES = 64 << 20
 _HEADER = struct.Struct(f"<QQ{MAX_COLUMNS}I{MAX_COLUMNS}Q")
 _FIRST, _NEXT = 0xFFFF, 0xFFFE
 _NUMPY = {LogicalType.INT32: "<i4", LogicalType.INT64: "<i8", LogicalType.FP64: "<f8"}
@@ -84,28 +86,47 @@ def read_header(data: bytes) -> tuple[int, list[LogicalType], list[int]]:
     return rows, [LogicalType(t) for t in rest[:n]], rest[MAX_COLUMNS : MAX_COLUMNS + n]
 
 
-def read_file(uri: str, batch: int = 8192) -> Iterator[pa.RecordBatch]:
-    """The rows of a page file in batches; pages are mapped or fetched as they are needed."""
+def read_file(uri: str, batch: int = 8192, part: int = 0, parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """The rows of a page file in batches, or one of ``parts`` stretches of them; pages are fetched as they are needed.
+
+    Of pages before the stretch only the counts are read, those after it not at all.
+    """
     fs, path = store_of(uri)
     with fs.open_input_file(path) as f:
         rows, kinds, counts = read_header(f.read(PAGE))
         starts = np.cumsum([1, *counts]).tolist()
-
-    def pages(start: int, count: int) -> Iterator[memoryview]:
-        with fs.open_input_file(path) as f:
-            f.seek(start * PAGE)
-            for _ in range(count):
-                page = f.read(PAGE)
-                if len(page) != PAGE:
-                    raise ValueError("the page file is cut short")
-                yield memoryview(page)
-
-    columns = [_in_rows(read_column(pages(s, c), k), k) for s, c, k in zip(starts, counts, kinds, strict=False)]
-    done = 0
-    while done < rows:
-        n = min(batch, rows - done)
+    first, stop = rows * part // parts, rows * (part + 1) // parts
+
+    def column(start: int, count: int, kind: LogicalType) -> Iterator[pa.Array]:
+        begun: list[int] = []  # the row that the first page fetched begins with
+
+        def pages() -> Iterator[memoryview]:
+            at, end = 0, 0  # rows before the page, and after it; a string's further pages belong to its row
+            with fs.open_input_file(path) as f:
+                for k in range(start, start + count):
+                    f.seek(k * PAGE)
+                    head = f.read(4)
+                    if len(head) != 4:
+                        raise ValueError("the page file is cut short")
+                    n = struct.unpack_from("<H", head)[0]
+                    if n != _NEXT:
+                        at, end = end, end + (1 if n == _FIRST else n)
+                    if at >= stop:
+                        return
+                    if end > first:
+                        begun.append(at)
+                        page = head + f.read(PAGE - 4)
+                        if len(page) != PAGE:
+                            raise ValueError("the page file is cut short")
+                        yield memoryview(page)
+
+        for k, array in enumerate(read_column(pages(), kind)):
+            yield array if k else array.slice(first - begun[0])
+
+    columns = [_in_rows(column(s, c, k), k) for s, c, k in zip(starts, counts, kinds, strict=False)]
+    for at in range(first, stop, batch):
+        n = min(batch, stop - at)
         yield pa.RecordBatch.from_arrays([c(n) for c in columns], names=[f"c{i}" for i in range(len(kinds))])
-        done += n
 
 
 def _as_array(values: list | pa.Array | pa.ChunkedArray, kind: LogicalType) -> pa.Array:
@@ -175,26 +196,27 @@ def write_file(uri: str, columns: list, kinds: list[LogicalType]) -> None:
 
 
 class _FilePartition(InputPartition):
-    def __init__(self, uri: str):
-        self.uri = uri
+    def __init__(self, uri: str, part: int, parts: int):
+        self.uri, self.part, self.parts = uri, part, parts
 
 
 class _PageReader(DataSourceReader):
-    """One task a file. Values are cast to the declared schema by position."""
+    """One task for each SPLIT_BYTES of a file. Values are cast to the declared schema by position."""
 
-    def __init__(self, uris: list[str], schema: T.StructType):
-        self.uris, self.names = uris, [f.name for f in schema.fields]
+    def __init__(self, files: list[tuple[str, int]], schema: T.StructType):
+        self.files, self.names = files, [f.name for f in schema.fields]
 
     def partitions(self):
-        return [_FilePartition(u) for u in self.uris]
+        sized = [(u, max(1, -(-size // SPLIT_BYTES))) for u, size in self.files]
+        return [_FilePartition(u, k, n) for u, n in sized for k in range(n)]
 
     def read(self, partition):
-        for batch in read_file(partition.uri):
+        for batch in read_file(partition.uri, part=partition.part, parts=partition.parts):
             yield batch.rename_columns(self.names)
 
 
-def page_files(uri: str) -> list[str]:
-    """The page files at a path: the file, or all ``.tbl`` files of a folder."""
+def page_files(uri: str) -> list[tuple[str, int]]:
+    """The page files at a path and their sizes: the file, or all ``.tbl`` files of a folder."""
     from pyarrow import fs as pafs
 
     fs, path = store_of(uri)
@@ -202,9 +224,9 @@ def page_files(uri: str) -> list[str]:
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(uri)
     if info.type == pafs.FileType.File:
-        return [uri]
-    found = sorted(x.base_name for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".tbl"))
-    return [f"{uri.rstrip('/')}/{n}" for n in found]
+        return [(uri, info.size)]
+    found = sorted((x.base_name, x.size) for x in fs.get_file_info(pafs.FileSelector(path)) if x.base_name.endswith(".tbl"))
+    return [(f"{uri.rstrip('/')}/{n}", size) for n, size in found]
 
 
 class PageSource(DataSource):
@@ -218,7 +240,7 @@ class PageSource(DataSource):
         files = page_files(self.options["path"])
         if not files:
             raise ValueError("no page files and no schema given")
-        fs, path = store_of(files[0])
+        fs, path = store_of(files[0][0])
         with fs.open_input_file(path) as f:
             _, kinds, _ = read_header(f.read(PAGE))
         names = [x for x in self.options.get("columns", "").split(",") if x] or [f"c{i}" for i in range(len(kinds))]

@@ -119,6 +119,26 @@ def test_pages_are_filled(seed):
     assert at == len(values)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 50, 4000])
+def test_a_file_in_parts(tmp_path, parts):
+    n, path = 3000, str(tmp_path / "t.tbl")
+    cols = columns(n, 5)
+    cols[3] = [("z" * 20_000 if i % 97 == 0 else v) for i, v in enumerate(cols[3])]
+    write_file(path, cols, list(LogicalType))
+    got = [[list(c.to_pylist()) for c in b.columns] for k in range(parts) for b in read_file(path, batch=64, part=k, parts=parts)]
+    assert [[v for b in got for v in b[c]] for c in range(4)] == cols
+
+
+def test_large_files_are_split(spark, tmp_path, monkeypatch):
+    from millrace.sources import pages
+
+    write_file(str(tmp_path / "t.tbl"), columns(5000, 8), list(LogicalType))
+    monkeypatch.setattr(pages, "SPLIT_BYTES", 100_000)
+    reader = pages.PageSource({"path": str(tmp_path / "t.tbl")}).reader(schema(*zip("abcd", LogicalType, strict=True)))
+    parts = reader.partitions()
+    assert len(parts) > 3 and sum(b.num_rows for p in parts for b in reader.read(p)) == 5000
+
+
 def test_sliced_arrays_are_written(tmp_path):
     import pyarrow as pa
 
