@@ -63,20 +63,21 @@ class PuModel:
         if not words:
             return cls([], np.zeros(0), float(np.log(prior / (1 - prior))))
 
-        def matrix(texts: list[list[int]]) -> np.ndarray:
-            x = np.zeros((len(texts), len(words) + 1), np.float32)
-            x[:, -1] = 1
-            for i, t in enumerate(texts):
-                x[i, t] = 1
-            return x
-
-        xp, xu = matrix(positive), matrix(unlabelled)
+        # the features that are there, as (text, feature); the last weight is the bias
+        sides = [(np.repeat(np.arange(len(x)), [len(t) for t in x]), np.array([f for t in x for f in t], np.int64)) for x in (positive, unlabelled)]
+
+        def score(side: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+            return _sigmoid(np.bincount(side[0], weights=w[side[1]], minlength=n) + w[-1])
+
+        def back(side: tuple[np.ndarray, np.ndarray], d: np.ndarray) -> np.ndarray:
+            return np.append(np.bincount(side[1], weights=d[side[0]], minlength=len(words)), d.sum())
+
         w, m, v = np.zeros(len(words) + 1), 0.0, 0.0
         w[-1] = np.log(prior / (1 - prior))
         for step in range(1, rounds + 1):
-            sp, su = _sigmoid(xp @ w), _sigmoid(xu @ w)
-            plus = -prior * (xp.T @ (1 - sp)) / np_
-            minus = xu.T @ su / nu - prior * (xp.T @ sp) / np_
+            sp, su = score(sides[0], np_), score(sides[1], nu)
+            plus = -prior * back(sides[0], 1 - sp) / np_
+            minus = back(sides[1], su) / nu - prior * back(sides[0], sp) / np_
             risk = -np.log(1 - su + 1e-12).mean() + prior * np.log(1 - sp + 1e-12).mean()
             g = plus + minus if risk >= 0 else -minus
             g = g + l2 * np.append(w[:-1], 0) * prior
@@ -108,7 +109,7 @@ def choose_features(sample: DataFrame, n_pos: int, n_unl: int, most: int, least:
 
 def fit_toxicity(
     docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", positives: int = 2000, unlabelled: int = 5000,
-    max_features: int = 4096, least_share: float = 0.005, least_lift: float = 6.0, rounds: int = 800, rate: float = 0.05, l2: float = 5e-4,
+    max_features: int = 4096, least_share: float = 0.005, least_lift: float = 8.0, rounds: int = 800, rate: float = 0.05, l2: float = 5e-4,
 ) -> PuModel:
     """Trains on ``positives`` texts confirmed by ``labelled`` and ``unlabelled`` texts drawn from all, each those of least hash of their id.
 
