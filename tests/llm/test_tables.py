@@ -69,6 +69,8 @@ def variants(r, base, n, edits):
 @pytest.mark.parametrize("seed", range(4))
 def test_groups_random(spark, seed, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK", [1024, 6][seed % 2])
+    monkeypatch.setattr(setjoin, "CHUNK_ENTRIES", [1_500_000, 40][seed % 2])
+    monkeypatch.setattr(setjoin, "MAX_ENTRIES", [2_000_000, 300][seed // 2])
     r = random.Random(seed)
     word = lambda: r.choice("abcdefgh") + str(r.randrange(200))
     passage = [word() for _ in range(30)]
