@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, linededup, mil, setjoin
-from millrace.llm.common import numbered, small, table, unpacked, with_row, work_dir, written
+from millrace.llm.common import numbered, release, small, table, unpacked, with_row, work_dir, written
 
 #: Bytes of an Arrow batch: whole rows go through Python here, and pass through memory several times.
 ROW_BATCH_BYTES = 16 << 20
-#: A line is taken out where an earlier one has it and more than six lines in all do: below that it is a quotation
-#: or part of a copied document, and whole copies are left to the stage after.
+#: Before near copies are looked for, a line is taken out where an earlier one has it and more than six lines in all do:
+#: below that it is a quotation or part of a copied document, and would make near copies unlike. Once one document of
+#: each group is left, every repeated line goes.
 LEAST_COPIES = 7
 
 
@@ -33,30 +34,43 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return unpacked(mil.score_quality(rows, model, "row", text).where("predicted = 1"), docs.columns)
 
 
+def _without_repeats(rows: DataFrame, id_: str, text: str, least_copies: int) -> DataFrame:
+    out = linededup.dedup_lines(rows, id_, text, least_copies=least_copies)
+    return out.where(f"n_removed = 0 OR {text} RLIKE '[^ \\\\t-\\\\r]'").select(*rows.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that an earlier document or line has and LEAST_COPIES lines or more share.
 
-    Documents with no word left go, if a line was taken; null and empty texts and those without a word lose no line
-    and stay. Repeated rows (same id and text) lose the same lines. Null ids come first.
+    The other repeated lines are taken out by the next stage, when it has found the near copies. Documents with no
+    word left go, if a line was taken; null and empty texts and those without a word lose no line and stay. Repeated
+    rows (same id and text) lose the same lines. Null ids come first.
     """
     rows, (id_, text) = numbered(docs, "doc_id", "text")
-    out = linededup.dedup_lines(rows, id_, text, least_copies=LEAST_COPIES)
-    return out.where(f"n_removed = 0 OR {text} RLIKE '[^ \\\\t-\\\\r]'").select(*rows.columns).toDF(*docs.columns)
+    return _without_repeats(rows, id_, text, LEAST_COPIES).toDF(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near copies, once.
+    """The document of smallest id of each group of near copies, once, without any line that an earlier one left has.
 
     Null and empty texts belong to no group. Rows that repeat an id and a text are one document. Rows without an id
-    can't be told apart and all stay.
+    can't be told apart: all stay as they are, and their lines count for no other row. Documents with no word left go,
+    if a line was taken.
     """
     rows, (id_, text) = numbered(docs, "doc_id", "text")
+    left = written(_one_of_each_group(spark, rows, id_, text), f"{work_dir(spark)}/left")
+    release(spark)
+    told = _without_repeats(left.where(F.col(id_).isNotNull()), id_, text, 1)
+    return told.unionByName(left.where(F.col(id_).isNull())).toDF(*docs.columns)
+
+
+def _one_of_each_group(spark: SparkSession, rows: DataFrame, id_: str, text: str) -> DataFrame:
     groups = setjoin.similar_groups(rows, id_, text).where(F.col(id_).isNotNull()).groupBy(F.col(id_).alias("odd"))
     odd = groups.agg((F.min("component_id") < F.col("odd")).alias("goes"), F.count("*").alias("n")).where("goes OR n > 1").drop("n")
     odd = small(written(odd, f"{work_dir(spark)}/odd"), 2)
     kept = rows.join(odd, F.col(id_) == F.col("odd"), "left").where("goes IS NULL OR NOT goes")
     again = kept.where("odd IS NOT NULL").withColumn("h", F.xxhash64(text)).dropDuplicates([id_, "h"])
-    return kept.where("odd IS NULL").select(*rows.columns).unionByName(again.select(*rows.columns)).toDF(*docs.columns)
+    return kept.where("odd IS NULL").select(*rows.columns).unionByName(again.select(*rows.columns))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -478,3 +478,18 @@ def test_pipeline_drops_copies_with_short_lines(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[0] in ("line dedup", "n-gram Jaccard join")])
     got = sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted([(3, a), (5, b), (None, b), (8, ""), (6, ""), (2, None)], key=str)
+
+
+def test_pipeline_leaves_no_repeated_line(spark):
+    """Lines of fewer copies than LEAST_COPIES go too, exact and near ones, after the near copies are found."""
+    r = random.Random(5)
+    line = lambda n=40: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    twice, often, own = line(6), line(2), [line() for _ in range(12)]
+    rows = [(i, f"{own[i]}\n{often}" if i < 4 else f"{own[i]}\n{twice}{' more' * (i - 4)}") for i in range(6)]
+    shared = [line() for _ in range(9)]
+    rows += [(6, "\n".join([*shared, own[6]])), (7, "\n".join([*shared, own[7]])), (8, f"{often}\n{twice}"), (None, own[0]), (9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for stage in (corpus_pipeline.drop_repeated_lines, corpus_pipeline.keep_one_of_each_group):
+        docs = stage(spark, docs, DIR)
+    want = [(0, rows[0][1]), (1, own[1]), (2, own[2]), (3, own[3]), (4, rows[4][1]), (5, own[5]), (6, rows[6][1]), (None, own[0]), (9, None), (10, "")]
+    assert sorted(map(tuple, docs.collect()), key=str) == sorted(want, key=str)
