@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, linededup, mil, setjoin
-from millrace.llm.common import numbered, release, small, table, unpacked, with_row, work_dir, written
+from millrace.llm.common import numbered, release, small, table, trim_executors, unpacked, with_row, work_dir, written
 
 #: Bytes of an Arrow batch: whole rows go through Python here, and pass through memory several times.
 ROW_BATCH_BYTES = 16 << 20
+#: The same for the last stage: a batch is held by the executor and its Python worker, beside the encoder's tables.
+ENCODE_BATCH_BYTES = 2 << 20
 #: Before near copies are looked for, a line is taken out where an earlier one has it and more than six lines in all do:
 #: below that it is a quotation or part of a copied document, and would make near copies unlike. Once one document of
 #: each group is left, every repeated line goes.
@@ -87,11 +89,12 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and the digests of the ids and of the decoded text, a row for each row.
 
-    Null and empty texts give no ids; rows without an id are encoded as others. The encoder's tables are kept small:
-    after the other stages an executor's heap is full.
+    Null and empty texts give no ids; rows without an id are encoded as others. The encoder's tables and the Arrow
+    batches are kept small, and what earlier stages have left in the executors' heaps is freed first.
     """
-    out = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_digests=True, tables=0.33)
-    return out.drop("decoded")
+    trim_executors(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ENCODE_BATCH_BYTES)
+    return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_digests=True, tables=0.33, with_decoded=False)
 
 
 STAGES = [

@@ -332,15 +332,17 @@ def encoder(path: str, pattern: str, tables: float = 1.0) -> Encoder:
 KEPT["bpe"] = encoder.cache_clear
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False, tables: float = 1.0) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, with_digests: bool = False, tables: float = 1.0, with_decoded: bool | None = None) -> DataFrame:
     """One row per document: id, ``n_tokens``; ``ids`` (little-endian u32) and ``decoded`` (UTF-8 of the text the streaming decoder makes of the ids) and their SHA-256, as asked for.
 
     ``path`` names a rank file that every executor has installed. ``tables`` scales the bounds of the encoder's
-    tables: less memory for more time. Null and empty texts give no ids. Repeated
-    rows are encoded each on their own. Other columns are not read.
+    tables: less memory for more time. ``with_decoded`` is as ``with_ids`` where it is not given. Null and empty texts
+    give no ids. Repeated rows are encoded each on their own. Other columns are not read.
     """
+    with_decoded = with_ids if with_decoded is None else with_decoded
     fields = [("n_tokens", "long")]
-    fields += [("ids", "binary"), ("decoded", "binary")] if with_ids else []
+    fields += [("ids", "binary")] if with_ids else []
+    fields += [("decoded", "binary")] if with_decoded else []
     fields += [("ids_sha256", "string"), ("decoded_sha256", "string")] if with_digests else []
 
     def make():
@@ -354,7 +356,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 for text in texts:
                     ids = enc.encode((text or b"").decode("utf-8", "replace"))
                     back = enc.decode(ids)
-                    row = (len(ids) // 4, *((ids, back) if with_ids else ()))
+                    row = (len(ids) // 4, *((ids,) if with_ids else ()), *((back,) if with_decoded else ()))
                     rows.append((*row, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()) if with_digests else row)
             finally:
                 gc.enable()

@@ -167,6 +167,15 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim_executors(spark: SparkSession) -> None:
+    """Has the executors' JVMs collect their heaps and hand what is free back to the system, for Python workers to use.
+
+    A task for each core reaches every idle executor; one that is missed only keeps its heap as it is.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("gc")).collect()
+
+
 def least_hash(df: DataFrame, id_col: str, n: int, salt: str = "") -> DataFrame:
     """The ``n`` rows of least hash of their id, ties by id: a sample that depends on the ids alone.
 

@@ -493,3 +493,18 @@ def test_pipeline_leaves_no_repeated_line(spark):
         docs = stage(spark, docs, DIR)
     want = [(0, rows[0][1]), (1, own[1]), (2, own[2]), (3, own[3]), (4, rows[4][1]), (5, own[5]), (6, rows[6][1]), (None, own[0]), (9, None), (10, "")]
     assert sorted(map(tuple, docs.collect()), key=str) == sorted(want, key=str)
+
+
+def test_encode_leaves_memory_to_python(spark):
+    """Before the encoder's workers start, the JVM's heap is collected whole; decoded texts, which no one reads, stay in Python."""
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    whole = [b for b in beans if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact")]
+    before = sum(b.getCollectionCount() for b in whole)
+    docs = spark.createDataFrame([(1, "a plain text"), (2, None), (None, "")], "doc_id long, text string")
+    out = corpus_pipeline.encode(spark, docs, DIR)
+    assert sum(b.getCollectionCount() for b in whole) > before
+    assert out.columns == ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"]
+    assert "decoded#" not in out._jdf.queryExecution().analyzed().toString()
+    text = b"a plain text"
+    rows = {r.decoded_sha256 for r in out.collect()}
+    assert rows == {hashlib.sha256(text).hexdigest(), hashlib.sha256(b"").hexdigest()}
