@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators.joins import STRATEGIES, equi_join
+from millrace.operators.joins import STRATEGIES, equi_join, product_join
+from millrace.queries import queries
 from millrace.telemetry import Telemetry, Totals
 from millrace.verify import Difference, compare, show
 
@@ -80,6 +81,48 @@ def test_many_keys_random(spark):
     assert df.count() == sum(1 for _, k in a for _, j in b if k == j)
 
 
+@pytest.mark.parametrize("kind", TYPES)
+def test_product_join_gives_the_same_bag(spark, kind):
+    left, right, want = sides(spark, kind)
+    assert bag(product_join(left, right, ("k", "j"))) == [r[:3] for r in want]
+    for a, b in ((left.limit(0), right), (left, right.limit(0))):
+        out = product_join(a, b, ("k", "j"))
+        assert out.count() == 0 and out.columns == ["a", "k", "b"]
+    assert bag(product_join(left, right.select("j"), ("k", "j"))) == sorted((r[:2] for r in want), key=repr)
+
+
+def test_product_join_keeps_columns_of_any_name(spark):
+    left, right = spark.createDataFrame([(1, 2, 3), (1, 4, 5)], "k int, turn int, `a.b` int"), spark.createDataFrame([(6, 1, 7)] * 2, "rows int, met int, l0 int")
+    out = product_join(left, right, ("k", "met"))
+    assert out.columns == ["k", "turn", "a.b", "rows", "l0"] and bag(out) == [(1, 2, 3, 6, 7)] * 2 + [(1, 4, 5, 6, 7)] * 2
+
+
+def test_product_join_in_stretches_and_tasks(spark, monkeypatch):
+    monkeypatch.setattr("millrace.operators.joins.STRETCH", 8)
+    monkeypatch.setattr("millrace.operators.joins.TASK_ROWS", 500)
+    r = random.Random(6)
+    zeros = [0.0, -0.0, float("nan"), None]
+    a = [(i, r.choice([*zeros, 1.5, 2.5, 9.0])) for i in range(300)] + [(7, 1.5)] * 3
+    b = [(i, r.choice([*zeros, 1.5, 1.5, 1.5, 1.5, 8.0])) for i in range(150)] + [(5, 2.5)] * 9
+    left, right = spark.createDataFrame(a, "x int, k double"), spark.createDataFrame(b, "y int, j double")
+    want = equi_join(left, right, [("k", "j")]).select("x", "y")
+    for broadcast in (1 << 28, 10):
+        monkeypatch.setattr("millrace.operators.joins.BROADCAST_BYTES", broadcast)
+        df = product_join(left, right, ("k", "j")).select("x", "y")
+        assert bag(df) == bag(want) and len(bag(df)) > 5000
+
+
+def test_fp64_query_takes_little_disk(spark, tmp_path):
+    """Keys met by 1203 parts each: shuffled or broadcast as they come, such rows take over 13 bits of Parquet, here under 2."""
+    spark.range(4000).selectExpr("id l_orderkey", "cast(id % 3 as int) l_linenumber", "cast(crc32(cast(id as string)) % 40 as double) l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1203 * 20).selectExpr("crc32(cast(id as string)) p_partkey", "880.0D + id % 20 p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    queries()["join_fp64_key"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    found = spark.read.parquet(f"{tmp_path}/out")
+    lines = spark.read.parquet(f"{tmp_path}/lineitem.parquet").where("l_quantity < 20").count()
+    assert found.count() == found.distinct().count() == 1203 * lines
+    assert 8 * sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 3 * 1203 * lines
+
+
 def test_errors(spark):
     left, right, _ = sides(spark, "int")
     with pytest.raises(ValueError):
